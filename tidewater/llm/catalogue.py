@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from tidewater.llm.mixing import op6_mixing
+from tidewater.llm.packing import op1_packing
 from tidewater.llm.sharding import op2_sharding
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_mixing": op6_mixing}
+QUERIES = {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op6_mixing": op6_mixing}
 #: Where SQL can say the same. Packing, placement, mixing, learning and search follow greedy, random or learned choices
 #: that SQL cannot repeat; tests hold those against brute force.
 ORACLE: dict[str, str] = {}
