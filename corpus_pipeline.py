@@ -1,4 +1,74 @@
-STAGES = []
+"""A training corpus from ``documents``: reject junk, drop near copies, mix sources to their weights, pack sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidewater.llm import mixing, packing, quality, similarity
+from tidewater.llm.text import table, word_count
+from tidewater.spark import bounded_broadcast, materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold; the classifier is fitted on ``labels`` of these documents."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("_row", F.struct(*docs.columns)), model)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select("_row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word shingles, Jaccard similarity of at least 0.8), that of the smallest
+    doc_id. Texts without words, and rows with a null doc_id, are in no group and stay."""
+    found = materialize(similarity.similarity_join(docs.select("doc_id", "text"), 5, similarity.Threshold(4, 5)).filter("doc_id is not null"))
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    again = keep.groupBy("_id").count().filter("count > 1").select("_id")
+    nameless = docs.filter(F.col("doc_id").isNull())
+    kept = docs.join(bounded_broadcast(keep.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    if again.limit(1).count():  # ids on several rows: one of them stays
+        twice = materialize(again)
+        one = Window.partitionBy("doc_id").orderBy(*docs.columns)
+        first = kept.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+        kept = kept.join(twice, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(first)
+    return kept.unionByName(nameless)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a document that it doesn't take goes, and one without words stays once."""
+    keys = ["doc_id", "source", "size"]
+    taken = materialize(mixing.mix(docs.select("doc_id", "source", "text")).groupBy(*keys).agg(F.sum("copies").alias("_t"), F.count(F.lit(1)).alias("_c")))
+    side = taken.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_t", "_c")
+    rows = docs.withColumn("_size", word_count(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col("_k_doc_id")) & F.col("source").eqNullSafe(F.col("_k_source")) & (F.col("_size") == F.col("_k_size"))
+    joined = rows.join(bounded_broadcast(side), on)
+    out = joined.filter("_c = 1").withColumn("_n", F.col("_t"))
+    if taken.filter("_c > 1").limit(1).count():  # rows that the mix can't tell apart share their copies evenly
+        order = Window.partitionBy(*keys[:2], "_size").orderBy("text")
+        several = joined.filter("_c > 1").withColumn("_i", F.row_number().over(order) - 1)
+        out = out.unionByName(several.withColumn("_n", F.floor(F.col("_t") / F.col("_c")) + (F.col("_i") < F.col("_t") % F.col("_c")).cast("long")).drop("_i"))
+    return out.filter("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", keep_quality), ("n-gram jaccard join", drop_near_copies), ("mixing sources", mix_sources), ("packing", pack_sequences)]
+
+#: Learned scores, random rounding and greedy packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs
