@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from tidewater.llm.mixing import op6_mixing
+from tidewater.llm.neighbours import op10_neighbours
 from tidewater.llm.packing import op1_packing
 from tidewater.llm.quality import op9_quality
 from tidewater.llm.sharding import op2_sharding
 from tidewater.llm.similarity import op8_jaccard
 
-QUERIES = {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op6_mixing": op6_mixing, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op6_mixing": op6_mixing, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
 #: Where SQL can say the same. Packing, placement, mixing, learning and search follow greedy, random or learned choices
 #: that SQL cannot repeat; tests hold those against brute force.
 ORACLE: dict[str, str] = {}
