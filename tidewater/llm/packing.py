@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,34 +33,69 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class Encoder:
+#: Letters whose case, composition and class are the same in every Unicode version; a word of them is one unit to the tokenizer.
+#: ASCII signs after it, other than an apostrophe, are one more unit.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The published byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
     """Ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never looks across it, so the ids of a text are those of its chunks between ASCII
-    white space; chunks are kept from text to text in a cache of bounded bytes.
+    white space. Chunks are kept from text to text, up to a bound in bytes. A chunk of plain letters goes to the merge model
+    at once, signs that follow it go through the tokenizer on their own; any other chunk takes the tokenizer's whole way.
     """
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = 160 << 20):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.held, self.known = Tokenizer.from_file(path), most_bytes, 0, {}
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most_bytes, 0
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.tails: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        word = chunk.decode()
+        parts = _PLAIN.fullmatch(word)
+        if parts is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif parts[2]:
+            if parts[2] not in self.tails:
+                self.tails[parts[2]] = array("I", self.tokenizer.encode(parts[2], add_special_tokens=False).ids).tobytes()
+            out = self[parts[1].encode()] + self.tails[parts[2]] if len(self.tails) < 10_000 else array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            return self._keep(chunk, out)
+        else:
+            low = word.lower()
+            ids = [t.id for t in self.merge(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))]
+        return self._keep(chunk, array("I", ids).tobytes())
+
+    def _keep(self, chunk: bytes, out: bytes) -> bytes:
+        self.held += 180 + len(chunk) + len(out)
+        self[chunk] = out
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
         for text in texts:
-            chunks = text.encode("utf-8", "replace").split()
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, dtype="<u4").tobytes()
-                    self.held += 200 + len(c) + len(known[c])
-            yield b"".join(map(known.__getitem__, chunks))
+            yield b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
             if self.held > self.most:
-                known.clear()
+                self.clear()
                 self.held = 0
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder in each worker process, for all its tasks."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Every document's ids and ``end_id``, cut into full windows and one rest; null text counts as empty.
 
@@ -65,7 +103,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """
 
     def run(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             out = []
