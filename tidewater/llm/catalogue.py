@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.chat import op4_chat
+from tidewater.llm.licenses import op5_licenses
 from tidewater.llm.mixing import op6_mixing
 from tidewater.llm.neighbours import op10_neighbours
 from tidewater.llm.packing import op1_packing
@@ -11,7 +12,7 @@ from tidewater.llm.sharding import op2_sharding
 from tidewater.llm.similarity import op8_jaccard
 from tidewater.llm.urls import op3_urls
 
-QUERIES = {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_urls": op3_urls, "op4_chat": op4_chat, "op6_mixing": op6_mixing, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_urls": op3_urls, "op4_chat": op4_chat, "op5_licenses": op5_licenses, "op6_mixing": op6_mixing, "op8_jaccard": op8_jaccard, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
 #: Where SQL can say the same. Packing, placement, mixing, learning and search follow greedy, random or learned choices
 #: that SQL cannot repeat; tests hold those against brute force.
 ORACLE: dict[str, str] = {}
