@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import matching
+from tidewater.plans import matching, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (matching,):
+for module in (matching, symbols):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
