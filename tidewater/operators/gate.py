@@ -11,9 +11,10 @@ def gate(issues: DataFrame, facts: DataFrame, rules: DataFrame, symbol: str = "s
     """``issues`` with ``gate_verdict``: that of the first rule (by priority) of the issue's kind whose semantic kind the symbol,
     or the caller where the rule probes it, has in ``facts`` (symbol, kind); else Allow. Two equi-joins and one minimum."""
     f = facts.select(F.col("symbol").alias("_sym"), F.col("kind").alias("_kind")).distinct()
-    r = F.broadcast(rules)
-    probes = issues.select(key, kind, F.explode(F.array(F.struct(F.lit("symbol").alias("probe"), F.col(symbol).alias("_sym")), F.struct(F.lit("caller").alias("probe"), F.col(caller).alias("_sym")))).alias("p")).select(key, kind, "p.probe", "p._sym")
-    met = probes.join(f, "_sym").join(r, (F.col(kind) == r["issue_kind"]) & (F.col("_kind") == r["semantic_kind"]) & (probes["probe"] == r["probe"]))
+    r = F.broadcast(rules.select(F.col("issue_kind").alias("_ik"), F.col("semantic_kind").alias("_kind"), F.col("probe").alias("_probe"), "verdict", "priority"))
+    sides = F.explode(F.array(F.struct(F.lit("symbol").alias("_probe"), F.col(symbol).alias("_sym")), F.struct(F.lit("caller").alias("_probe"), F.col(caller).alias("_sym"))))
+    probes = issues.select(key, F.col(kind).alias("_ik"), sides.alias("p")).select(key, "_ik", "p._probe", "p._sym")
+    met = probes.join(f, "_sym").join(r, ["_ik", "_kind", "_probe"])
     first = met.groupBy(key).agg(F.min_by("verdict", "priority").alias("gate_verdict"))
     return issues.join(first, key, "left").withColumn("gate_verdict", F.coalesce("gate_verdict", F.lit("Allow")))
 
