@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import graphs, matching, symbols, verdicts
+from tidewater.plans import evidence, graphs, matching, symbols, verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (matching, symbols, verdicts, graphs):
+for module in (matching, symbols, verdicts, graphs, evidence):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
