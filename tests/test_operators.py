@@ -87,3 +87,12 @@ def test_language(spark, name, language):
 def test_scores_stay_in_range(spark):
     df = spark.range(1).select(scoring.confidence(F.lit("x"), F.lit(False), F.lit(False), F.lit(10**9), F.lit(0), F.lit(0)).alias("a"), scoring.risk_add(F.lit(0.95), F.lit(1.0), F.lit(True), F.lit(False), F.lit(99), F.lit(False)).alias("b"))
     assert df.first()["a"] == pytest.approx(0.1) and df.first()["b"] == 1.0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], timeout=120).returncode == 0

@@ -128,11 +128,13 @@ def a13_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["a13_state_summary"] = a13_state_summary
 ORACLE["a13_state_summary"] = f"WITH {FACTS_SQL}, c AS (SELECT caller, kind, count(*) AS n FROM facts GROUP BY caller, kind) SELECT caller, string_agg(kind || ': ' || n, ', ' ORDER BY n DESC, kind) AS summary FROM c GROUP BY caller"
 
-_STATE = F.create_map(*[F.lit(x) for kv in {"signup": "Owned", "purchase": "Released", "error": "Unknown", "view": "Null", "click": "Owned"}.items() for x in kv])
+#: The exit state that each event type stands for.
+STATES = {"signup": "Owned", "purchase": "Released", "error": "Unknown", "view": "Null", "click": "Owned"}
 
 
 def a14_path_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.path_states(facts(spark, sf_dir).withColumn("state", _STATE[F.col("kind")]), ["caller", "family"], "state")
+    state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])[F.col("kind")]
+    return scoring.path_states(facts(spark, sf_dir).withColumn("state", state), ["caller", "family"], "state")
 
 
 QUERIES["a14_path_states"] = a14_path_states
