@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once a context: Python code of an operator then runs wherever a worker is
+    started. The archive is only what the driver serves; nobody reads the driver's folder."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tidewater_shipped", False):
+        home = Path(__file__).resolve().parent
+        path = os.path.join(tempfile.mkdtemp(prefix="tidewater-"), "tidewater.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"tidewater/{f.relative_to(home)}")
+        sc.addPyFile(path)
+        sc._tidewater_shipped = True
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a lineage cut that survives lost executors.
 
