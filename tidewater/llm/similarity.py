@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize
+from tidewater.spark import bounded_broadcast, materialize, ship
 
 #: A block of more shingles than this is cut into chunks, and each pair of chunks is searched in a task of its own.
 BLOCK_SHINGLES = 3_000_000
@@ -78,23 +78,23 @@ class Threshold:
         return (self.a + self.b) * overlap >= self.a * (x + y)
 
     def classes(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sizes of the classes, and for each the parts that its sets are cut into and the spare ones among them.
+        """First sizes of the classes, and for each the parts that sets are cut into and the spare ones among them.
 
-        Sets that may link lie in one class or in neighbouring ones. A link's difference is at most k, so of k + 1 + spare
-        parts at least 1 + spare are equal; a set with at most ``spare`` empty parts then shares one that isn't empty."""
+        Sets that may link lie in one class or in neighbouring ones; the smaller one's class says into how many parts both
+        are cut. A link's difference is at most k, so of k + 1 + spare parts at least 1 + spare are equal; a set with at
+        most ``spare`` empty parts then shares one that isn't empty."""
         low = [1, 2]
         while low[-1] <= most:
             low.append(max(low[-1] + 1, self.b * (low[-1] - 1) // self.a + 1))
-        low.append(max(low[-1] + 1, self.b * (low[-1] - 1) // self.a + 1))
         low = np.array(low)
         high = np.append(low[1:] - 1, self.b * (low[-1] - 1) // self.a + 1)
-        k = (self.b - self.a) * 2 * high // (self.a + self.b)
+        k = (self.b - self.a) * (high + self.b * high // self.a) // (self.a + self.b)
         spare = np.where(k > 0, np.ceil(2 * (k + 1) * np.exp(-low / (k + 1.0))).astype(int) + 1, 0)
         return low, k + 1 + spare, spare
 
 
 def part_keys(s: np.ndarray, threshold: Threshold, low: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """Keys of the parts of one sorted set, for its own class and the next. Classes whose links are equality need none."""
+    """Keys of the parts of one sorted set, for its own class and the one before. Classes whose links are equality need none."""
     if not len(s):
         return np.zeros(0, dtype=_U)
     own = int(np.searchsorted(low, len(s), side="right")) - 1
@@ -118,8 +118,8 @@ def part_keys(s: np.ndarray, threshold: Threshold, low: np.ndarray, parts: np.nd
             else:
                 cut(np.sort(mixed(hashes + _U(depth + 1))), c, salt * 31 + depth + 1, depth + 1)
 
-    for c in (own, own + 1):
-        if parts[c] > 1:
+    for c in (own, own - 1):
+        if c >= 0 and parts[c] > 1:
             cut(s, c, 1, 0)
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
@@ -262,7 +262,7 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     """
     block = block or BLOCK_SHINGLES
     low, parts, spare = threshold.classes(1 << 27)
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
@@ -274,18 +274,33 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
                     "n": [len(s) for s in sets],
                     "h1": [int(_signed(np.array([mixed(s).sum(dtype=_U)]))[0]) for s in sets],
                     "h2": [int(_signed(np.array([mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)]))[0]) for s in sets],
-                    "part": [_signed(part_keys(s, threshold, low, parts, spare)) for s in sets],
                 })
 
+    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingler(words)
+        for pdf in batches:
+            keys, ids_, held = [], [], 0
+            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
+                part = part_keys(shingles(text if isinstance(text, str) else None), threshold, low, parts, spare)
+                keys.append(_signed(part))
+                ids_.append(np.full(len(part), doc_id, dtype=np.int64))
+                held += len(part)
+                if held > 200_000:
+                    yield pd.DataFrame({"doc_id": np.concatenate(ids_), "key": np.concatenate(keys)})
+                    keys, ids_, held = [], [], 0
+            if keys:
+                yield pd.DataFrame({"doc_id": np.concatenate(ids_), "key": np.concatenate(keys)})
+
     lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = lean.filter(F.col("doc_id").isNotNull())
-    signed = materialize(named.mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long, part array<long>"))
+    signed = materialize(named.mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long"))
     same = ["n", "h1", "h2"]
     rep = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     ids = signed.select("doc_id", *same)
     copies = materialize(ids.join(rep, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
-    own = signed.join(rep.select(*same, "rep").withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates([*same, "doc_id"])
-    keyed = own.select("doc_id", F.explode("part").alias("key"))
+    own = copies.filter("n > 0 and doc_id = rep").select("doc_id", *same).distinct()
+    reps = bounded_broadcast(own.select(F.col("doc_id").alias("_id")).distinct())
+    keyed = named.join(reps, F.col("doc_id") == F.col("_id"), "left_semi").mapInPandas(keys_of, "doc_id long, key long")
     by_key = Window.partitionBy("key")
     pairs = keyed.withColumn("first", F.min("doc_id").over(by_key)).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     blocks = components(pairs)
@@ -336,7 +351,7 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     found = components(links.unionByName(again))
     joined = copies.join(found, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
-    nameless = lean.filter(F.col("doc_id").isNull()).mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long, part array<long>")
+    nameless = lean.filter(F.col("doc_id").isNull()).mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long")
     return out.unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
