@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.text import table
+from tidewater.spark import ship
 
 #: Fixed marks of the template. OPEN + role + NEXT + text + CLOSE is one turn. Roles and texts never hold an unescaped OPEN,
 #: NEXT or CLOSE, since each of them starts with "<|" and that is escaped.
@@ -136,6 +137,7 @@ def format_chat(turns: DataFrame, path: str | None = None) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"conv_id": "Int64"})
 
+    ship(turns.sparkSession)
     lean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = lean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInPandas(run, SEGMENT_SCHEMA)
@@ -179,6 +181,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [c.split()[0] for c in schema.split(", ")]
+    ship(segments.sparkSession)
     return segments.select("conv_id", "formatted", "loss_spans").mapInPandas(run, schema)
 
 
@@ -188,3 +191,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = spark.createDataFrame([(-7, i, r, "\\### Assistant: </turn> ok") for i, r in enumerate(("user", "assistant"))], columns)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_chat(turns.unionByName(trap)))
+
+
+#: The same in SQL; 24 characters a turn are the marks.
+ORACLE = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) AS v(conv_id, turn, role, text)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+  sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""

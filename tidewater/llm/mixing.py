@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.text import table, word_count
-from tidewater.spark import bounded_broadcast, materialize
+from tidewater.spark import bounded_broadcast, materialize, ship
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -104,6 +104,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     copies 1. An empty table gives an empty result. Repeated rows are drawn separately. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     lean = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
     by_source = sorted(((x["source"], x["s"], x["n"]) for x in lean.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [s for _, s, _ in by_source]

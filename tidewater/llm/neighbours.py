@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.llm.text import table
-from tidewater.spark import materialize
+from tidewater.spark import materialize, ship
 
 #: Bound on the vectors that the fit collects to the driver; they come first by a hash of their id.
 SAMPLE = 12_000
@@ -133,6 +133,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, shortlist: int
     Fewer than k candidates: all. An empty table gives an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.filter(F.col("vec_id").isNotNull() & _usable("embedding")).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda e: e.cast("double")).alias("embedding"), is_query.alias("q"))
     by_size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = by_size["d"] if by_size else 1

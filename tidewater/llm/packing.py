@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.text import table
-from tidewater.spark import materialize, salted_rank
+from tidewater.spark import materialize, salted_rank, ship
 
 WINDOW, END_ID = 4096, 2
 #: Documents of the residual are cut at multiples of this many tokens only; each such block carries its own CRC.
@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "blocks"])
             yield frame.assign(doc_id=frame.doc_id.astype("Int64"))
 
+    ship(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return lean.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, blocks binary")
 

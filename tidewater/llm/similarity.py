@@ -358,3 +358,12 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` under links of 3-word shingle sets with a Jaccard similarity of at least 0.9."""
     return similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The same in SQL, by all pairs that share a shingle.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 2, 1))) AS k FROM w WHERE len(words) > 0), s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, k, k + 2), ' ') AS g FROM i),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN c u ON a = u.doc_id JOIN c v ON b = v.doc_id WHERE 100 * o >= 90 * (u.n + v.n - o)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON w.doc_id = m.doc_id"""
