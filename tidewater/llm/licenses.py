@@ -57,6 +57,26 @@ def _grams(words: list[str], width: int) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(len(words) - width + 1)))
 
 
+def _anchors(templates) -> list[str]:
+    """A few patterns, one of which is in every shingle of every template: long words, chosen greedily, or the whole shingle
+    where it has none. Words with a k are no anchors, as a sign beyond ASCII (the Kelvin) has the same lower case."""
+    left = [g.split() for (width, _), group in _groups(templates).items() for _, w in group for g in _grams(w, width)]
+    out = []
+    while left:
+        words = sorted({w for g in left for w in g if len(w) >= 6 and "k" not in w})
+        if not words:
+            return sorted(out + ["[^\\p{L}\\p{N}]+".join(g) for g in left])
+        best = max(words, key=lambda w: (sum(w in g for g in left), len(w)))
+        out.append(best)
+        left = [g for g in left if not any(best in w for w in g)]
+    return sorted(out)
+
+
+def _once(column: Column) -> Column:
+    """A generator's output is computed once; a plain column would be repeated in every expression that names it."""
+    return F.explode(F.array(column))
+
+
 def _hashed(words: Column, width: int) -> Column:
     last = F.size(words) - width + 1
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))).otherwise(F.array().cast("array<long>"))
@@ -82,7 +102,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     very long texts are scanned whole; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", normal(F.col("text")).alias("_n"))
+    # one regular expression passes over the texts; only those with an anchor word are normalised and looked at shingle by shingle
+    rows = docs.select("doc_id", "text").filter(F.rlike("text", F.lit("(?i)" + "|".join(_anchors(templates)))))
+    rows = rows.select("doc_id", _once(normal(F.col("text"))).alias("_n"))
     found = None
     groups = sorted(_groups(templates).items())
     some = F.lit(False)
@@ -95,10 +117,10 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         known = spark.createDataFrame([(n, _grams(w, width)) for n, w in group], "license string, grams array<string>")
         known = known.select("license", F.transform("grams", lambda g: F.xxhash64(g)).alias("_t"))
         hashes = F.array(*[F.xxhash64(F.lit(g)) for g in sorted({g for _, w in group for g in _grams(w, width)})])
-        h = rows.select("doc_id", _hashed(F.col("_w"), width).alias("_h")).filter(F.size("_h") > 0)
+        h = rows.select("doc_id", _once(_hashed(F.col("_w"), width)).alias("_h")).filter(F.size("_h") > 0)
         span = 2 * size - width + 1
         windows = F.transform(F.sequence(F.lit(0), F.size("_h") - 1, F.lit(size)), lambda i: F.struct(i.alias("at"), F.slice("_h", i + 1, span).alias("s")))
-        near = h.select("doc_id", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["s"], hashes))).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.array_distinct("w.s").alias("s"))
+        near = materialize(h.select("doc_id", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["s"], hashes))).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.array_distinct("w.s").alias("s")))
         probes = near.select("doc_id", "at", "s", F.explode(_bands(F.col("s"))).alias("k")).select("doc_id", "at", "s", "k.band", "k.low")
         bands = known.select("license", "_t", F.explode(_bands(F.col("_t"))).alias("k")).select("license", "_t", "k.band", "k.low")
         met = probes.join(F.broadcast(bands), ["band", "low"])  # as many rows as the templates have bands
