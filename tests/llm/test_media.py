@@ -50,7 +50,7 @@ def test_edges(spark, data):
 def test_query_on_vectors(spark, tmp_path):
     rng = np.random.default_rng(0)
     data = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(12)]
-    data += [(20, data[0][1]), (21, None), (22, [float("nan")] * 4), (23, [])]
+    data += [(20, data[0][1]), (24, [9.0, *data[1][1][1:]]), (21, None), (22, [float("nan")] * 4), (23, [])]
     spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {x["vec_id"]: x["class_id"] for x in op7_media(spark, str(tmp_path)).collect()}
-    assert got == {i: 0 if i == 20 else i for i, _ in data}
+    assert got == {i: {20: 0, 24: 1}.get(i, i) for i, _ in data}

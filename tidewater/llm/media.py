@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tidewater.llm.similarity import components
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize
+from tidewater.spark import bounded_broadcast, materialize, ship
 
 #: Scales, each half the one before; corners kept at each; tests of a descriptor; radius of its patch.
 SCALES, CORNERS, BITS, RADIUS = 3, 24, 128, 9
@@ -124,11 +124,24 @@ class Gallery:
         return [int(image[a]) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a >= CONSENSUS and agreeing(self.flat[pair[a:b, 0]], self.flat[pair[a:b, 1]]) >= CONSENSUS]
 
     def forest(self) -> np.ndarray:
-        """The component of each image in the block. Every image is searched, among those that aren't in its component yet."""
+        """The component of each image in the block. An image is searched unless a searched one has reached it; then only links
+        between images reached in different components are unknown, and one end of each lies outside the largest one."""
         label = np.arange(len(self.corners))
-        for i in range(len(label)):
+        searched, reached = np.zeros((2, len(label)), dtype=bool)
+
+        def run(i: int) -> None:
+            searched[i] = True
             for j in self.search(i, label == label[i]):
+                reached[j] = True
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
+
+        for i in range(len(label)):
+            if not reached[i]:
+                run(i)
+        if not searched.all():
+            largest = np.bincount(label[~searched]).argmax()
+            for i in np.flatnonzero(~searched & (label != largest)):
+                run(int(i))
         return label
 
 
@@ -140,6 +153,7 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     linked. Rows of a null image_id take no part and get a null class. Repeated rows get the same class. Any size is read whole.
     Other columns are ignored; an empty table gives an empty result.
     """
+    ship(images.sparkSession)
     block = block or BLOCK_DESCRIPTORS
     rows = images.select(F.col("image_id").cast("long"), F.col("pixels"), F.col("height").cast("int"), F.col("width").cast("int"))
 
@@ -194,9 +208,13 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     return out.unionByName(rows.filter("image_id is null").select("image_id", F.lit(0).cast("long").alias("n_corners"), F.lit(None).cast("long").alias("class_id")))
 
 
-def drawn(vectors: DataFrame, side: int = 64) -> DataFrame:
-    """A grey image of each vector: its components on a square grid, scaled to 0..255 and enlarged bilinearly. The driver's tables
-    hold no images; this is what the query below runs on. Null or non-finite vectors have no image."""
+_TEXTURES = np.random.default_rng(21).integers(0, 256, (4096, 8, 8)).astype(np.uint8)
+
+
+def drawn(vectors: DataFrame) -> DataFrame:
+    """A grey image of each vector: a square grid of cells, each with a texture of 8 x 8 pixels that its component picks, to four
+    decimal places. The driver's tables hold no images; this is what the query below runs on. Vectors that share most
+    components give images that share most cells. Null, empty or non-finite vectors have no image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,16 +225,14 @@ def drawn(vectors: DataFrame, side: int = 64) -> DataFrame:
                     out.append((i, None, 0, 0))
                     continue
                 n = int(np.ceil(np.sqrt(len(v))))
-                grid = np.resize(v, n * n).reshape(n, n)
-                grid = (grid - grid.min()) / max(1e-12, grid.max() - grid.min()) * 255
-                at = np.linspace(0, n - 1, side)
-                low = np.minimum(at.astype(int), max(0, n - 2))
-                f, high = at - low, np.minimum(low + 1, n - 1)
-                wide = grid[:, low] * (1 - f) + grid[:, high] * f
-                whole = wide[low] * (1 - f)[:, None] + wide[high] * f[:, None]
-                out.append((i, np.rint(whole).astype(np.uint8).tobytes(), side, side))
+                step = np.rint(np.clip(np.resize(v, n * n), -1e9, 1e9) * 1e4).astype(np.int64).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    pick = (step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+                whole = _TEXTURES[pick.astype(int)].reshape(n, n, 8, 8).transpose(0, 2, 1, 3).reshape(8 * n, 8 * n)
+                out.append((i, whole.tobytes(), 8 * n, 8 * n))
             yield pd.DataFrame(out, columns=["image_id", "pixels", "height", "width"]).astype({"image_id": "Int64"})
 
+    ship(vectors.sparkSession)
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInPandas(run, "image_id long, pixels binary, height int, width int")
 
 
