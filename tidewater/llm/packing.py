@@ -53,7 +53,7 @@ class Encoder(dict):
     at once, signs that follow it go through the tokenizer on their own; any other chunk takes the tokenizer's whole way.
     """
 
-    def __init__(self, path: str, most_bytes: int = 160 << 20):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

@@ -25,7 +25,7 @@ from tidewater.llm.text import table
 from tidewater.spark import bounded_broadcast, materialize, ship
 
 #: A block of more shingles than this is cut into chunks, and each pair of chunks is searched in a task of its own.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Weight of the probes in DivideSkip's choice of how many lists are long.
 MU = 0.02
 
@@ -56,7 +56,7 @@ class Shingler:
         words = (text or "").encode("utf-8", "replace").lower().split()
         if not words:
             return np.zeros(0, dtype=_U)
-        if len(self.words) > 400_000:
+        if len(self.words) > 150_000:
             self.words.clear()
         h = np.fromiter(map(self.words.__getitem__, words), dtype=_U, count=len(words))
         width = min(self.n, len(h))
@@ -267,14 +267,13 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
         for pdf in batches:
-            sets = [shingles(t if isinstance(t, str) else None) for t in pdf.text]
+            rows = []
             with np.errstate(over="ignore"):
-                yield pd.DataFrame({
-                    "doc_id": pdf.doc_id,
-                    "n": [len(s) for s in sets],
-                    "h1": [int(_signed(np.array([mixed(s).sum(dtype=_U)]))[0]) for s in sets],
-                    "h2": [int(_signed(np.array([mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)]))[0]) for s in sets],
-                })
+                for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
+                    s = shingles(text if isinstance(text, str) else None)
+                    both = np.array([mixed(s).sum(dtype=_U), mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)])
+                    rows.append((doc_id, len(s), *map(int, _signed(both))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2"]).astype({"doc_id": "Int64"})
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
@@ -312,12 +311,17 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for doc_id, component, n_chunks, text in zip(pdf.doc_id, pdf.component, pdf.chunks, pdf.text, strict=True):
                 s = shingles(text if isinstance(text, str) else None)
                 mine = xxhash.xxh3_64_intdigest(s.tobytes()) % n_chunks
                 others = range(n_chunks) if n_chunks > 1 else (0,)
-                out += [(f"{component}:{min(mine, o)}:{max(mine, o)}", doc_id, s.tobytes()) for o in others]
+                for o in others:
+                    out.append((f"{component}:{min(mine, o)}:{max(mine, o)}", doc_id, s.tobytes()))
+                    held += len(s)
+                    if held > 500_000:
+                        yield pd.DataFrame(out, columns=["block", "doc_id", "shingles"])
+                        out, held = [], 0
             yield pd.DataFrame(out, columns=["block", "doc_id", "shingles"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
