@@ -298,8 +298,9 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     ids = signed.select("doc_id", *same)
     copies = materialize(ids.join(rep, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
     own = copies.filter("n > 0 and doc_id = rep").select("doc_id", *same).distinct()
-    reps = bounded_broadcast(own.select(F.col("doc_id").alias("_id")).distinct())
-    keyed = named.join(reps, F.col("doc_id") == F.col("_id"), "left_semi").mapInPandas(keys_of, "doc_id long, key long")
+    # far fewer documents are copies than are not, so the copies are what the texts are joined with
+    rest = copies.select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti").withColumnRenamed("doc_id", "_id")
+    keyed = named.join(bounded_broadcast(materialize(rest)), F.col("doc_id") == F.col("_id"), "left_anti").mapInPandas(keys_of, "doc_id long, key long")
     by_key = Window.partitionBy("key")
     pairs = keyed.withColumn("first", F.min("doc_id").over(by_key)).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     blocks = components(pairs)
