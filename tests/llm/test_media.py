@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidewater.llm.media import Gallery, _blur, describe, link_images, op7_media
+from tidewater.llm.media import FAR_BITS, Gallery, _blur, describe, draw, link_images, meeting, op7_media
 
 
 def picture(seed, h=120, w=140):
@@ -54,3 +54,42 @@ def test_query_on_vectors(spark, tmp_path):
     spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {x["vec_id"]: x["class_id"] for x in op7_media(spark, str(tmp_path)).collect()}
     assert got == {i: {20: 0, 24: 1}.get(i, i) for i, _ in data}
+
+
+def test_changed_vectors_stay_copies(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(10 * i, rng.normal(size=64)) for i in range(40)]
+    data += [x for i, v in data for x in ((i + 1, v * 1.01 + rng.normal(size=64) * 0.005), (i + 2, v * 7))]
+    spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {x["vec_id"]: x["class_id"] for x in op7_media(spark, str(tmp_path)).collect()} == {i: i // 10 * 10 for i, _ in data}
+    a, b = draw(data[0][1]).astype(int), draw(data[40][1]).astype(int)
+    assert a.std() > 20 and np.abs(a - b).max() <= 4
+
+
+def test_crops_and_edits_of_drawn_images_are_linked(spark):
+    data = []
+    for i in range(30):
+        x = draw(np.random.default_rng(i).normal(size=196))
+        edited = x.copy()
+        edited[:40, :40] = 128
+        data += [row(10 * i, x), row(10 * i + 1, x[10:100, 16:].copy()), row(10 * i + 2, edited)]
+    assert {x["image_id"]: x["class_id"] for x in link_images(spark.createDataFrame(data, SCHEMA)).collect()} == {i: i // 10 * 10 for i, *_ in data}
+
+
+def test_meeting_connects_all_close_descriptors():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 40, 600) ** 2 // 100)
+    bits = rng.integers(0, 2**63, (9, 2)).astype(np.uint64)[rng.integers(0, 9, 600)] ^ (np.uint64(1) << rng.integers(0, 60, (600, 2)).astype(np.uint64))
+    image = rng.integers(0, 300, 600)
+
+    def classes(pairs):
+        label = np.arange(300)
+        for a, b in pairs:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+    for k in np.unique(key):
+        m = np.flatnonzero(key == k)
+        close = [(image[i], image[j]) for i in m for j in m if np.bitwise_count(bits[i] ^ bits[j]).sum() <= FAR_BITS]
+        assert classes(meeting(key[m], image[m], bits[m])) == classes(close)
+    assert len(meeting(key[:0], image[:0], bits[:0])) == 0

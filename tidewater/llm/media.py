@@ -2,8 +2,9 @@
 
 1. Corners of a structure tensor at several scales get an orientation from their intensity centroid and 128 binary tests on the
    patch turned to it. Identical images collapse to one first.
-2. Hamming tables: 128 bits are four keys of 32, so descriptors that differ in at most three bits share a key. Images that share
-   a key are put in one block; a block's size is bounded by pairs of chunks.
+2. Hamming tables: 128 bits are four keys of 32, so descriptors that differ in at most three bits share a key. Descriptors that
+   share one are compared in full, as most meet by chance; images with a match are put in one block, whose size is bounded by
+   pairs of chunks.
 3. In a block, descriptors are looked up in the four tables; two images are linked if enough matches agree on one shift,
    rotation and scale. Links become components.
 """
@@ -17,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.llm.similarity import components
 from tidewater.llm.text import table
@@ -145,6 +145,42 @@ class Gallery:
         return label
 
 
+#: Up to so many descriptors of one key are compared pair by pair; more are joined one after the other.
+FEW = 16
+
+
+def meeting(key: np.ndarray, image: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows (a, b) of images that connect all images with descriptors of one key at most FAR_BITS apart. ``key`` is sorted and holds
+    whole runs; ``bits`` has two 64-bit halves a row. Of a long run each image is given with the first one it connects to only."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    size = np.diff(edge)
+    rest = np.repeat(edge[1:], size) - np.arange(len(key)) - 1
+    rest[np.repeat(size > FEW, size)] = 0
+    left = np.repeat(np.arange(len(key)), rest)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest)
+    near = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1) <= FAR_BITS
+    out = [np.column_stack([image[left[near]], image[right[near]]])]
+    for k in np.flatnonzero(size > FEW):
+        run = slice(edge[k], edge[k + 1])
+        each, row = np.unique(bits[run], axis=0, return_inverse=True)
+        label, free = np.full(len(each), -1), np.arange(len(each))
+        while len(free):
+            todo, now, free = [free[0]], free[0], free[1:]
+            label[now] = now
+            while todo and len(free):
+                close = np.bitwise_count(each[free] ^ each[todo.pop()]).sum(axis=1) <= FAR_BITS
+                label[free[close]] = now
+                todo += free[close].tolist()
+                free = free[~close]
+        group = label[row.ravel()]
+        order = np.lexsort((image[run], group))
+        group, member = group[order], image[run][order]
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        out.append(np.column_stack([member, member[first][np.cumsum(first) - 1]]))
+    pairs = np.concatenate(out)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
 def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     """One row for each row of ``images`` (image_id, pixels, height, width; grey, one byte a pixel, row by row): image_id,
     n_corners, class_id, the smallest image_id reachable by links, itself included.
@@ -164,20 +200,45 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
                 good = raw is not None and h == h and w == w and h > 0 and w > 0 and len(raw) == int(h) * int(w)
                 corners, keys = describe(np.frombuffer(raw, np.uint8).reshape(int(h), int(w))) if good else (np.zeros((0, 4)), np.zeros((0, 4), np.uint32))
                 digest = hashlib.md5(raw + f":{int(h)}".encode()).hexdigest() if good else None
-                packed = [int(t) << 32 | int(k) for t in range(4) for k in np.unique(keys[:, t])] if len(keys) else []
-                out.append((i, digest, len(keys), corners.astype("<f4").tobytes(), keys.astype("<u4").tobytes(), packed))
-            yield pd.DataFrame(out, columns=["image_id", "digest", "n", "corners", "descriptors", "key"]).astype({"image_id": "Int64"})
+                out.append((i, digest, len(keys), corners.astype("<f4").tobytes(), keys.astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "digest", "n", "corners", "descriptors"]).astype({"image_id": "Int64"})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                keys = np.frombuffer(b"".join(pdf.descriptors), "<u4").reshape(-1, 4)
+                image, bits = np.repeat(pdf.image_id.to_numpy("int64"), pdf.n), np.ascontiguousarray(keys).view("<i8")
+                for t in range(4):
+                    yield pd.DataFrame({"key": keys[:, t].astype("int64") | t << 32, "image_id": image, "low": bits[:, 0], "high": bits[:, 1]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
 
-    schema = "image_id long, digest string, n int, corners binary, descriptors binary, key array<long>"
+        def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
+            pdf = pd.concat(rows)
+            return pd.DataFrame(meeting(pdf.key.to_numpy(), pdf.image_id.to_numpy(), pdf[["low", "high"]].to_numpy("int64").view("uint64")), columns=["a", "b"], dtype="int64")
+
+        # the last run of a batch may go on in the next one
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = int(np.searchsorted(pdf.key.to_numpy(), pdf.key.iloc[-1]))
+            if last or held and held[-1].key.iloc[-1] != pdf.key.iloc[0]:
+                yield close([*held, pdf[:last]])
+                held = []
+            held.append(pdf[last:])
+        if held:
+            yield close(held)
+
+    schema = "image_id long, digest string, n int, corners binary, descriptors binary"
     # pixels of identical images are described once
     named = rows.filter("image_id is not null").withColumn("_same", F.md5(F.concat("pixels", F.encode(F.concat(F.lit(":"), F.coalesce("height", F.lit(0)), F.lit(":"), F.coalesce("width", F.lit(0))), "utf-8"))))
     firsts = named.groupBy("_same").agg(F.min("image_id").alias("rep"))
     ids = materialize(named.select("image_id", "_same").join(firsts, "_same", "left").select("image_id", F.coalesce("rep", "image_id").alias("rep")))
     alone = named.join(bounded_broadcast(firsts), (F.col("image_id") == F.col("rep")) & (named["_same"] == firsts["_same"]), "left_semi").dropDuplicates(["image_id"])
     made = materialize(alone.select("image_id", "pixels", "height", "width").mapInPandas(extract, schema))
-    by_key = Window.partitionBy("key")
-    keyed = made.select("image_id", F.explode("key").alias("key")).withColumn("first", F.min("image_id").over(by_key))
-    blocks = components(keyed.filter("image_id != first").select(F.col("image_id").alias("a"), F.col("first").alias("b")))
+    keyed = made.select("image_id", "n", "descriptors").mapInPandas(spread, "key long, image_id long, low long, high long")
+    blocks = components(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long").distinct())
     total = made.join(blocks, F.col("image_id") == F.col("node")).groupBy("component").agg(F.sum("n").alias("total"))
     total = total.select(F.col("component").alias("_c"), F.when(F.col("total") <= block, 1).otherwise(F.ceil(F.col("total") * 2 / block)).cast("int").alias("chunks"))
     members = made.join(blocks, F.col("image_id") == F.col("node")).join(total, F.col("component") == F.col("_c"))
@@ -208,13 +269,34 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     return out.unionByName(rows.filter("image_id is null").select("image_id", F.lit(0).cast("long").alias("n_corners"), F.lit(None).cast("long").alias("class_id")))
 
 
-_TEXTURES = np.random.default_rng(21).integers(0, 256, (4096, 8, 8)).astype(np.uint8)
+#: Pixels a side of a component's cell, and the patterns that components add: noise under a window of three cells a side.
+CELL = 8
+_WINDOW = np.hanning(3 * CELL + 2)[1:-1]
+_PATTERNS = np.stack([_blur(x) for x in np.random.default_rng(21).normal(size=(1024, 3 * CELL, 3 * CELL))]) * np.outer(_WINDOW, _WINDOW)
+#: Grey values of an image spread by about GREY round the middle.
+GREY = 40.0
+_PATTERNS *= GREY / np.sqrt(np.square(_PATTERNS).sum(axis=(1, 2)).mean() / CELL**2)
+
+
+def draw(vector: np.ndarray) -> np.ndarray:
+    """A grey image that is linear in the components but for their common scale and rounding: each adds its pattern, as strong as it
+    is, round its cell of a square grid. Small changes of a vector are small changes everywhere, a few changed components are edits
+    of a few places, and a vector times a positive number gives the same image."""
+    n = int(np.ceil(np.sqrt(len(vector))))
+    v = np.resize(vector, n * n)
+    v = v / max(np.abs(v).max(), 1e-300)
+    v /= max(np.sqrt(np.square(v).mean()), 1e-300)
+    add = (v[:, None, None] * _PATTERNS[np.arange(n * n) % len(_PATTERNS)]).reshape(n, n, 3, CELL, 3, CELL)
+    whole = np.zeros((n + 2, CELL, n + 2, CELL))
+    for i in range(3):
+        for j in range(3):
+            whole[i : i + n, :, j : j + n] += add[:, :, i, :, j].transpose(0, 2, 1, 3)
+    return np.rint(np.clip(whole[1:-1, :, 1:-1] + 128, 0, 255)).astype(np.uint8).reshape(CELL * n, CELL * n)
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
-    """A grey image of each vector: a square grid of cells, each with a texture of 8 x 8 pixels that its component picks, to four
-    decimal places. The driver's tables hold no images; this is what the query below runs on. Vectors that share most
-    components give images that share most cells. Null, empty or non-finite vectors have no image."""
+    """The image of each vector (``draw``). The driver's tables hold no images; this is what the query below runs on. Null, empty
+    or non-finite vectors have no image."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -224,12 +306,8 @@ def drawn(vectors: DataFrame) -> DataFrame:
                 if v is None or not len(v) or not np.isfinite(v).all():
                     out.append((i, None, 0, 0))
                     continue
-                n = int(np.ceil(np.sqrt(len(v))))
-                step = np.rint(np.clip(np.resize(v, n * n), -1e9, 1e9) * 1e4).astype(np.int64).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    pick = (step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-                whole = _TEXTURES[pick.astype(int)].reshape(n, n, 8, 8).transpose(0, 2, 1, 3).reshape(8 * n, 8 * n)
-                out.append((i, whole.tobytes(), 8 * n, 8 * n))
+                whole = draw(v)
+                out.append((i, whole.tobytes(), *whole.shape))
             yield pd.DataFrame(out, columns=["image_id", "pixels", "height", "width"]).astype({"image_id": "Int64"})
 
     ship(vectors.sparkSession)
