@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidewater.llm.licenses import CONTAINMENT, TEMPLATES, WIDTH, _grams, _groups, _words, scan
@@ -42,3 +44,15 @@ def test_edges(spark, data):
     got = scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((x["doc_id"] or -1) for x in got) == sorted({i or -1 for i, t in data if t})
     assert WIDTH == 5
+
+
+def test_no_notice_in_the_middle_of_a_text_is_missed(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 9))) for _ in range(n))
+    notices = {n: t for n, t in TEMPLATES if n in ("MIT", "All-Rights-Reserved", "CC-BY-4.0", "MPL-2.0")}
+    docs = [(i, f"{filler(rng.randint(8, 60))} {t} {filler(40)}", n) for i, (n, t) in enumerate(list(notices.items()) * 1000)]
+    crowd = "Licensed under CC BY 4.0. Released under the MIT License. All rights reserved. Licensed under CC BY-NC 4.0."
+    docs += [(4000 + i, f"{filler(i)} {crowd} {filler(40)}", "MIT") for i in range(60)]
+    got = {(x["doc_id"], x["license"]) for x in scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(4)).collect()}
+    assert {(i, n) for i, _, n in docs} - got == set()
+    assert {(4000 + i, n) for i in range(60) for n in ("CC-BY-4.0", "CC-BY-NC-4.0", "All-Rights-Reserved")} <= got

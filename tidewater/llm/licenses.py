@@ -11,10 +11,6 @@ from tidewater.spark import materialize
 
 #: Words of a shingle; a shorter template is one shingle. A template is found where this share of its shingles stands.
 WIDTH, CONTAINMENT = 5, 0.8
-#: Bands of one row. A window is twice as long as its templates' class and a template longer than half its class, so their
-#: similarity is at least about 1/4 of CONTAINMENT at worst, and all BANDS miss with a chance of 0.8 ** 40, 1 in 7500;
-#: a whole template in a window without foreign shingles of its length is missed far more rarely.
-BANDS = 40
 
 #: Notices in common use, word for word. Fixed values.
 TEMPLATES = (
@@ -82,13 +78,37 @@ def _hashed(words: Column, width: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))).otherwise(F.array().cast("array<long>"))
 
 
-def _bands(shingles: Column) -> Column:
-    """The smallest hash of the shingles under each of BANDS seeded hash functions, with the band's number."""
+def _seeds(spark: SparkSession, groups) -> list[list[int]]:
+    """Hash seeds of the bands of each class, by which no template is missed: a band can't miss if the smallest hash among all
+    shingles of the class is one of the template's and stands in the window. Bands are added until each template has more such
+    shingles than may be absent."""
+    rows = [(c, " ".join(g)) for c, ((width, _), group) in enumerate(groups) for g in sorted({tuple(g.split()) for _, w in group for g in _grams(w, width)})]
+    hashed = materialize(spark.createDataFrame(rows, "c int, gram string"))
+    out, seed, step = [[] for _ in groups], 0, 64
+    left = [[[set(grams), sum(k / len(grams) >= CONTAINMENT for k in range(1, len(grams) + 1))] for _, w in group for grams in [_grams(w, width)]] for (width, _), group in groups]
+    while any(left):
+        low = hashed.withColumn("seed", F.explode(F.sequence(F.lit(seed), F.lit(seed + step - 1)))).groupBy("c", "seed").agg(F.min_by("gram", F.xxhash64(F.xxhash64("gram"), "seed")).alias("gram"))
+        for c, b, gram in sorted(map(tuple, low.collect())):
+            used = False
+            for t in left[c]:
+                if gram in t[0]:
+                    t[0].discard(gram)
+                    t[1] -= 1
+                    used = True
+            if used:
+                out[c].append(b)
+            left[c] = [t for t in left[c] if t[1] > 0]
+        seed, step = seed + step, step * 2
+    return out
+
+
+def _bands(shingles: Column, seeds: list[int]) -> Column:
+    """The smallest hash of the shingles under each seeded hash function, with the band's seed."""
 
     def low(b: int) -> Column:
         return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(b))))
 
-    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)])
+    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in seeds])
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -96,8 +116,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     Words are lower-cased runs of letters and digits. For each class of templates the text is cut into windows of twice
     the class, half a window apart, so every place of a template lies in one. A window that shares no shingle with any template
-    can't contain one and is passed over; the bands of the others retrieve templates, and one is found if at least
-    CONTAINMENT of its distinct shingles stand in the window. ``windows`` counts those, ``first_word`` is where the first
+    can't contain one and is passed over; of the others the shingles of templates count, since others only hide them; their
+    bands retrieve every template that the window holds (see ``_seeds``), and one is found if at least CONTAINMENT of its distinct shingles stand in the window. ``windows`` counts those, ``first_word`` is where the first
     begins, ``containment`` the largest share. Null and empty texts have none; repeated rows count as one document's windows;
     very long texts are scanned whole; other columns are ignored; an empty table gives an empty result.
     """
@@ -113,16 +133,16 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             some = some | F.contains(F.col("_n"), F.lit(f" {g} "))
     words = F.split(F.trim(F.col("_n")), " ")
     rows = materialize(rows.filter(some).select("doc_id", words.alias("_w")))
-    for (width, size), group in groups:
+    for ((width, size), group), seeds in zip(groups, _seeds(spark, groups), strict=True):
         known = spark.createDataFrame([(n, _grams(w, width)) for n, w in group], "license string, grams array<string>")
         known = known.select("license", F.transform("grams", lambda g: F.xxhash64(g)).alias("_t"))
         hashes = F.array(*[F.xxhash64(F.lit(g)) for g in sorted({g for _, w in group for g in _grams(w, width)})])
         h = rows.select("doc_id", _once(_hashed(F.col("_w"), width)).alias("_h")).filter(F.size("_h") > 0)
         span = 2 * size - width + 1
         windows = F.transform(F.sequence(F.lit(0), F.size("_h") - 1, F.lit(size)), lambda i: F.struct(i.alias("at"), F.slice("_h", i + 1, span).alias("s")))
-        near = materialize(h.select("doc_id", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["s"], hashes))).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.array_distinct("w.s").alias("s")))
-        probes = near.select("doc_id", "at", "s", F.explode(_bands(F.col("s"))).alias("k")).select("doc_id", "at", "s", "k.band", "k.low")
-        bands = known.select("license", "_t", F.explode(_bands(F.col("_t"))).alias("k")).select("license", "_t", "k.band", "k.low")
+        near = materialize(h.select("doc_id", F.explode(F.filter(windows, lambda w: F.arrays_overlap(w["s"], hashes))).alias("w")).select("doc_id", F.col("w.at").alias("at"), F.array_intersect("w.s", hashes).alias("s")))
+        probes = near.select("doc_id", "at", "s", F.explode(_bands(F.col("s"), seeds)).alias("k")).select("doc_id", "at", "s", "k.band", "k.low")
+        bands = known.select("license", "_t", F.explode(_bands(F.col("_t"), seeds)).alias("k")).select("license", "_t", "k.band", "k.low")
         met = probes.join(F.broadcast(bands), ["band", "low"])  # as many rows as the templates have bands
         share = F.size(F.array_intersect("s", "_t")) / F.size("_t")
         hit = met.select("doc_id", "at", "license", share.alias("share")).filter(F.col("share") >= CONTAINMENT).distinct()
