@@ -71,6 +71,14 @@ def test_fixpoint_keeps_boundary_values(spark):
     assert {r["node"]: r["value"] for r in graph.fixpoint(nodes, edges, lambda v: v, F.max, F.greatest).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
 
 
+def test_fixpoint_reaches_the_end_of_a_long_path(spark):
+    nodes = spark.range(70).select(F.col("id").alias("node"), (F.col("id") == 0).alias("value")).coalesce(1)
+    edges = spark.range(69).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    assert graph.fixpoint(nodes, edges, lambda v: v, F.bool_or, lambda a, b: a | b).filter("value").count() == 70
+    with pytest.raises(RuntimeError):
+        graph.fixpoint(nodes, edges, lambda v: v, F.bool_or, lambda a, b: a | b, rounds=3)
+
+
 def test_gate_and_reconcile(spark):
     issues = spark.createDataFrame([(1, "NullDereference", "f", "g"), (2, "DoubleFree", "Py", "x")], "issue_id int, issue_kind string, symbol string, caller string")
     facts = spark.createDataFrame([("g", "NullChecked"), ("Py", "Nothing")], "symbol string, kind string")

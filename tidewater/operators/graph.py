@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -42,18 +43,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         label = new.select("node", "component")
 
 
-def fixpoint(nodes: DataFrame, edges: DataFrame, transfer: Callable[[Column], Column], join: Callable[[Column], Column], merge: Callable[[Column, Column], Column], rounds: int = 64, backward: bool = False) -> DataFrame:
+def fixpoint(nodes: DataFrame, edges: DataFrame, transfer: Callable[[Column], Column], join: Callable[[Column], Column], merge: Callable[[Column, Column], Column], rounds: int | None = None, backward: bool = False) -> DataFrame:
     """Dataflow fixpoint over (node, value): every node's value joins the transferred values of its predecessors (successors
-    if ``backward``) until nothing changes. Nodes without any keep their value. ``join`` aggregates, ``merge`` joins two."""
+    if ``backward``) until nothing changes. Nodes without any keep their value. ``join`` aggregates, ``merge`` joins two.
+    A state that still changes after ``rounds``, if given, is an error, never a result."""
     src, dst = ("dst", "src") if backward else ("src", "dst")
     state = materialize(nodes.select("node", "value"))
-    for _ in range(rounds):
+    for done in itertools.count(1):
         incoming = edges.join(state, edges[src] == state["node"]).groupBy(edges[dst].alias("_d")).agg(join(transfer(F.col("value"))).alias("_in"))
         new = materialize(state.join(incoming, state["node"] == incoming["_d"], "left").select("node", F.when(F.col("_in").isNull(), F.col("value")).otherwise(merge(F.col("value"), F.col("_in"))).alias("value"), F.col("value").alias("was")))
         if new.filter(~F.col("value").eqNullSafe(F.col("was"))).isEmpty():
             return new.select("node", "value")
+        if done == rounds:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
         state = new.select("node", "value")
-    return state
 
 
 def cross_module(defs: DataFrame, decls: DataFrame, symbol: str, module: str) -> DataFrame:
