@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.llm.quality import FEATURES, PASSAGE, _forward, fit, op9_quality, passages, score, train
+from tidewater.llm.quality import FEATURES, PASSAGE, _forward, fit, held_out, op9_quality, passages, score, train
 
 GOOD = "Anderwhed thor erea the thth, and the reonan was near. Hendly which read, then down and other ones. "
 JUNK = ["BUY NOW!! CLICK HERE!! WIN BIG!! ", "spam spam spam spam spam ", "Der&&& und%%% ist### zu$$$ "]
@@ -29,6 +30,17 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_the_passage_bound_is_filled_in_the_order_of_the_hash(spark, monkeypatch):
+    ids = spark.range(120).withColumnRenamed("id", "doc_id").coalesce(1)
+    order = [r[0] for r in ids.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id")).collect()]
+    first = set(order[:20])
+    labels = spark.createDataFrame([(i, int(i in first), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr("tidewater.llm.quality.fit", lambda x, start, y: seen.append(y.tolist()))
+    train(ids.withColumn("text", F.lit(GOOD)), labels, max_passages=20)
+    assert seen == [[1.0] * 20]
+
+
 def test_gradient_matches_finite_differences(monkeypatch):
     rng = np.random.default_rng(1)
     x, start, y = rng.normal(size=(40, len(FEATURES))), np.array([0, 3, 4, 20]), np.array([1.0, 0, 1, 0])

@@ -147,7 +147,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES) -> Model:
     """Fits on a bounded sample: the ``max_docs`` labelled documents outside the held-out fold that come first by a hash of
-    their id, whole texts, and of those the leading ones whose passages number at most ``max_passages`` together."""
+    their id, whole texts, and of those, in the hash's order, the ones whose passages number at most ``max_passages`` together."""
     ship(docs.sparkSession)
     ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_y"))
     order = F.xxhash64(F.lit(3), "doc_id")
@@ -161,12 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_pass
 
     made = texts.mapInPandas(run, "doc_id long, y int, n long, x binary")
     # whole texts, but a document of more passages than a sixteenth of the bound would crowd out the others
-    rows = sorted(made.filter(F.col("n") * 16 <= max_passages).orderBy(F.xxhash64(F.lit(3), "doc_id")).limit(max_docs).collect(), key=lambda r: (r["doc_id"], r["x"]))
+    rows = made.filter(F.col("n") * 16 <= max_passages).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id", "x").limit(max_docs).collect()
     kept, total = [], 0
     for r in rows:
         if total + r["n"] <= max_passages:
             kept.append(r)
             total += r["n"]
+    kept.sort(key=lambda r: (r["doc_id"], r["x"]))  # the fit's sums don't depend on the hash
     x = np.concatenate([np.zeros((0, len(FEATURES))), *[np.frombuffer(r["x"], "<f4").reshape(r["n"], -1) for r in kept]])
     start = np.cumsum([0, *[r["n"] for r in kept]])[:-1].astype(int)
     return fit(x, start, np.array([r["y"] for r in kept], dtype=float))
