@@ -94,6 +94,14 @@ def test_project_and_sinks(spark, tables):
     assert json.loads(sinks.to_json(found).first()["value"])["module_id"] == "a.ll"
 
 
+def test_sarif_has_every_issue_or_says_how_many_are_left_out(spark):
+    found = spark.range(10_050).selectExpr("'DoubleFree' AS issue_kind", "'Error' AS severity", "cast(id % 7 AS string) AS module_id", "id AS line", "'f' AS function", "'free' AS symbol")
+    run = json.loads(sinks.sarif(found))["runs"][0]
+    assert len({r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in run["results"]}) == 10_050 and "properties" not in run
+    cut = json.loads(sinks.sarif(found, 50))["runs"][0]
+    assert len(cut["results"]) == 50 and cut["properties"] == {"resultsLeftOut": 10_000}
+
+
 def test_json_source_and_cache(spark, tables, tmp_path):
     module = {"module_id": "j", "functions": [{"name": "f", "return_type": "void", "params": [], "blocks": [{"label": "e", "successors": ["x"], "instructions": [{"opcode": "call", "dest": "%p", "operands": ["8"], "callee": "malloc"}]}]}], "declarations": [{"name": "malloc"}]}
     (tmp_path / "m.json").write_text(json.dumps(module))

@@ -24,11 +24,17 @@ def results(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(F.col("issue_kind").alias("ruleId"), level[F.col("severity")].alias("level"), message.alias("message"), place.alias("locations"))).alias("value"))
 
 
-def sarif(issues: DataFrame, limit: int = 10_000) -> str:
-    """One SARIF document of at most ``limit`` results (a report), with the rules that occur."""
+def sarif(issues: DataFrame, limit: int | None = None) -> str:
+    """One SARIF document of every issue, with the rules that occur. The document is one string on the driver; ``results`` writes any
+    number of issues without it. Where a ``limit`` leaves issues out, the run's properties say how many."""
     rules = [r["issue_kind"] for r in issues.select("issue_kind").distinct().orderBy("issue_kind").collect()]
-    got = [json.loads(r["value"]) for r in results(issues.orderBy("module_id", "line", "issue_kind").limit(limit)).collect()]
+    rows = issues.orderBy("module_id", "line", "issue_kind")
+    got = [json.loads(r["value"]) for r in results(rows if limit is None else rows.limit(limit)).toLocalIterator()]
     for r in got:
         r["ruleIndex"] = rules.index(r["ruleId"])
     driver = {"name": "tidewater", "rules": [{"id": r} for r in rules]}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": driver}, "results": got}]}, sort_keys=True)
+    run = {"tool": {"driver": driver}, "results": got}
+    left_out = 0 if limit is None else issues.count() - len(got)
+    if left_out:
+        run["properties"] = {"resultsLeftOut": left_out}
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, sort_keys=True)
