@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 #: A side is broadcast only when it has at most this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+#: A join key with more rows than this on one side is joined by broadcast of the other side's rows for it.
+BUSY_ROWS = 1000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -51,16 +54,30 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tidewater-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewater_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind what ``materialize`` returned, once everything that reads it has been written itself."""
+    path = getattr(df, "_tidewater_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _made.remove((df.sparkSession, path))
+        df._tidewater_path = None
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             pass
 
@@ -75,6 +92,23 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def split_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner", busy_rows: int = BUSY_ROWS) -> DataFrame:
+    """``rows`` joined with ``side`` on equal columns, where one key may hold a large share of ``rows``.
+
+    Keys of more than ``busy_rows`` rows are counted first; there are at most rows / ``busy_rows`` of them. Their rows stay where
+    they are and meet a broadcast of ``side``'s few rows for these keys (its count is checked); all others shuffle as usual.
+    ``side`` should hold few rows a key, and ``how`` is inner or left.
+    """
+    busy = materialize(rows.groupBy(*on).count().filter(F.col("count") > busy_rows).select(*on, F.lit(True).alias("_busy")))
+    if busy.isEmpty():
+        release(busy)
+        return rows.join(side, on, how)
+    dealt = rows.join(bounded_broadcast(busy), on, "left")
+    few = materialize(side.join(bounded_broadcast(busy.drop("_busy")), on, "left_semi"))
+    hot = dealt.filter("_busy").drop("_busy").join(bounded_broadcast(few), on, how)
+    return hot.unionByName(dealt.filter("_busy is null").drop("_busy").join(side, on, how))
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int | None = None) -> DataFrame:
     """A gapless rank from 0 within ``keys`` without ever holding one key in one task.
 
