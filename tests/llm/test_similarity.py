@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from tidewater.llm.similarity import Block, Shingler, Threshold, components, part_keys, similarity_join
+from tidewater.llm.similarity import Block, Order, Shingler, Threshold, bits_apart, close_pairs, components, parity, similarity_join
 
 
 def words_of(text):
@@ -53,27 +54,53 @@ def corpus(rng, n):
 
 
 @pytest.mark.parametrize("n,a,b", [(3, 9, 10), (5, 4, 5)])
-def test_same_components_as_brute_force(spark, monkeypatch, n, a, b):
+def test_same_components_as_brute_force(spark, n, a, b):
     data = corpus(np.random.default_rng(n), 500) + [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "One"), (905, "one two"), (None, "one"), (906, "x y z " * 9000), (907, "x y z " * 9001), (5, "quite another text here now"), (907, "x y z " * 9001)]
     frame = spark.createDataFrame([(i, t, "a", 1) for i, t in data], "doc_id long, text string, component_id string, n int").repartition(3)
-    for block in (None, 600):
-        got = similarity_join(frame, n, Threshold(a, b), block)
+    # as it is; chunks of few shingles and stars in groups of over two; groups of frequent shingles that never meet in a task
+    for small in ({}, {"block": 600, "few": 2}, {"block": 600, "few": 2, "frequent": 2, "busy": 3}):
+        got = similarity_join(frame, n, Threshold(a, b), **small)
         assert sorted(map(tuple, got.collect()), key=repr) == brute(data, n, a, b)
 
 
-def test_parts_lose_no_link():
-    rng = np.random.default_rng(4)
-    for t in (Threshold(9, 10), Threshold(4, 5)):
-        low, parts, spare = t.classes(4000)
-        for size in (2, 5, 9, 10, 11, 19, 20, 40, 100, 500):
-            for _ in range(60):
-                x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-                cut = rng.permutation(len(x))
-                k = int(rng.integers(0, max(1, len(x) * (t.b - t.a) // t.b) + 1))
-                y = np.unique(np.concatenate([x[cut[k:]], rng.integers(0, 2**63, int(rng.integers(0, k + 1))).astype(np.uint64)]))
-                o = len(np.intersect1d(x, y))
-                if t.linked(o, len(x), len(y)) and not np.array_equal(x, y):
-                    assert len(np.intersect1d(part_keys(x, t, low, parts, spare), part_keys(y, t, low, parts, spare)))
+def near_sets(rng, t, size):
+    x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    cut, k = rng.permutation(len(x)), int(rng.integers(0, max(1, size * (t.b - t.a) // t.b) + 1))
+    return x, np.unique(np.concatenate([x[cut[k:]], rng.integers(0, 2**63, int(rng.integers(0, k + 1))).astype(np.uint64)]))
+
+
+@pytest.mark.parametrize("t", [Threshold(9, 10), Threshold(4, 5)])
+def test_prefixes_and_bitmaps_lose_no_link(t):
+    rng, linked = np.random.default_rng(4), 0
+    for size in (1, 2, 5, 9, 10, 11, 19, 20, 40, 100, 500):
+        for _ in range(60):
+            x, y = sorted(near_sets(rng, t, size), key=len)
+            o = len(np.intersect1d(x, y))
+            if len(x) and t.linked(o, len(x), len(y)):
+                linked += 1
+                often = np.unique(rng.choice(np.concatenate([x, y]), size // 2 + 1))
+                order = Order(often, rng.integers(30, 9000, len(often)))
+                assert len(np.intersect1d(order.first(x, t.prefix(len(x))[1])[0], order.first(y, t.prefix(len(y))[0])[0]))
+                assert bits_apart(parity(x), parity(y)) <= len(x) + len(y) - 2 * o <= t.apart(len(x), len(y))
+    assert linked > 200
+
+
+def test_close_pairs_equal_all_pairs():
+    rng, t = np.random.default_rng(6), Threshold(4, 5)
+    sets = [s for size in (60, 64, 66, 70, 130) for _ in range(12) for s in near_sets(rng, t, size)]
+    frame = pd.DataFrame({"doc_id": np.arange(len(sets)), "n": [len(s) for s in sets], "component": np.arange(len(sets)) // 3, "bitmap": [parity(s) for s in sets]})
+    got = set(map(tuple, close_pairs(frame[:50], frame, t).to_numpy()))
+    want = {(i, j, len(sets[j])) for i in range(50) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and t.a * max(len(sets[i]), len(sets[j])) <= t.b * min(len(sets[i]), len(sets[j])) and bits_apart(parity(sets[i]), parity(sets[j])) <= t.apart(len(sets[i]), len(sets[j]))}
+    assert got == want and len(want) > 5
+
+
+def test_words_are_cut_and_hashed_as_bytes():
+    s, rng = Shingler(1), np.random.default_rng(1)
+    s.PART = 40
+    text = "".join(rng.choice(list("abAB é\n\t\x0b\x1c\u00a0"), 3000))
+    words = text.encode().lower().split()
+    hashes = s.hashes(text.encode())
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist())))
 
 
 def test_search_equals_counting():

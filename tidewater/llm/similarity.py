@@ -1,12 +1,15 @@
-"""N-gram Jaccard join: exact links between shingle sets, by T-occurrence search with DivideSkip inside bounded blocks.
+"""N-gram Jaccard join: exact links between shingle sets, by T-occurrence search with DivideSkip.
 
 1. Every whole text becomes a set of 64-bit shingle hashes; identical sets collapse to one representative.
-2. Blocks: two linked sets of sizes up to a class's largest differ in at most k shingles. Hash ranges cut every set into
-   k + 1 parts or more, so some part of both is equal. Sets that share a part are put in one block; this only decides who
-   meets whom, and loses no link (pigeonhole principle).
-3. In a block, T-occurrence search over inverted lists finds the sets that share at least T shingles: short lists are merged
-   and counted, the longest ones are only probed by binary search for what the short ones left (DivideSkip).
-4. Links become components by alternating large-star and small-star steps.
+2. All sets are ordered alike: rare shingles first, then by hash. Linked sets share one of their first shingles (prefix filter),
+   so sets meet by those. Which shingles are frequent is counted over all texts; a wrong count costs time, never a link.
+3. Of sets that share a prefix shingle, few are paired with each other; of many, each is first paired with one of its size.
+   Pairs whose parity bitmaps differ in more bits than linked sets can differ in shingles are no links.
+4. What is left is searched: one set against the inverted lists of its partners. Short lists are merged and counted, the longest
+   are only probed by binary search for what the short ones left (DivideSkip). A merge here is one sort or count of the
+   concatenated lists, as numpy does that faster than a heap.
+5. Links become components by alternating large-star and small-star steps. Only pairs that still lie in different components
+   are looked at again, those of large groups too, so every pair that shares a prefix shingle is decided.
 """
 
 from __future__ import annotations
@@ -16,16 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize, ship
-
-#: A block of more shingles than this is cut into chunks, and each pair of chunks is searched in a task of its own.
-BLOCK_SHINGLES = 1_000_000
+from tidewater.spark import bounded_broadcast, materialize, release, ship, split_join
+
+#: Shingles of one task's search: the partners of a set are dealt into chunks of about this many.
+BLOCK_SHINGLES = 500_000
+#: Sets with a common prefix shingle that are all paired with each other; of more, each is paired with one of its size first.
+FEW = 24
+#: Rows of a cell in which sets of a large group are compared by their bitmaps: undecided ones, and all.
+OPEN_ROWS, ALL_ROWS = 512, 8192
+#: A shingle counts as frequent from so many texts on; so many frequent ones are kept (they only order the sets), and the group
+#: of one of over BUSY texts never meets in one task.
+FREQUENT, MOST_FREQUENT, BUSY = 32, 200_000, 4096
 #: Weight of the probes in DivideSkip's choice of how many lists are long.
 MU = 0.02
 
@@ -40,31 +48,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(33))
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Shingler:
     """Sorted distinct hashes of a text's word n-grams. A-Z are lower-cased; words stand between ASCII white space; a text of
-    fewer words than n has the whole sequence as its one shingle; without words the set is empty."""
+    fewer words than n has the whole sequence as its one shingle; without words the set is empty.
 
-    class _Words(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = h = xxhash.xxh3_64_intdigest(word)
-            return h
+    A word's hash is a polynomial over its bytes, for all words of a text at once: each byte is weighed by its place in the
+    text, and the sum over a word by the inverse of where it begins."""
+
+    BASE = 0x9E3779B97F4A7C17
+    #: Longer texts are cut at white space into parts of about so many bytes, so that arrays stay small.
+    PART = 1 << 20
 
     def __init__(self, n: int = 3):
-        self.n, self.words = n, self._Words()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if not words:
-            return np.zeros(0, dtype=_U)
-        if len(self.words) > 150_000:
-            self.words.clear()
-        h = np.fromiter(map(self.words.__getitem__, words), dtype=_U, count=len(words))
+        self.n = n
+        letter = mixed(np.arange(1, 257, dtype=_U)) | _U(1)
+        letter[65:91] = letter[97:123]
+        self.blank = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+        letter[self.blank] = 0
+        self.letter, self.weight = letter, mixed(np.arange(1000, 1000 + n, dtype=_U)) | _U(1)
+        self.power, self.inverse = np.ones(1, dtype=_U), np.ones(1, dtype=_U)
+
+    def _grow(self, size: int) -> None:
+        if len(self.power) < size:
+            size = max(size, 1 << 14)
+            with np.errstate(over="ignore"):
+                self.power = np.concatenate([[_U(1)], np.cumprod(np.full(size, self.BASE, dtype=_U), dtype=_U)])
+                self.inverse = np.concatenate([[_U(1)], np.cumprod(np.full(size, pow(self.BASE, -1, 1 << 64), dtype=_U), dtype=_U)])
+
+    def _parts(self, raw: bytes) -> Iterator[np.ndarray]:
+        every, at = np.frombuffer(raw, dtype=np.uint8), 0
+        while at < len(every):
+            stop = at + self.PART
+            while stop < len(every) and not self.blank[every[stop]]:
+                stop += 1
+            yield every[at:stop]
+            at = stop
+
+    def hashes(self, raw: bytes) -> np.ndarray:
+        """One hash for each word."""
+        out = [np.zeros(0, dtype=_U)]
+        for part in self._parts(raw):
+            self._grow(len(part))
+            blank = self.blank[part]
+            first = np.flatnonzero(np.concatenate([[True], blank[:-1]]) & ~blank)
+            if len(first):
+                with np.errstate(over="ignore"):
+                    sums = np.add.reduceat(self.letter[part] * self.power[: len(part)], first)
+                    out.append(mixed(sums * self.inverse[first]))
+        return np.concatenate(out)
+
+    def __call__(self, text: str | bytes | None) -> np.ndarray:
+        h = self.hashes(text.encode("utf-8", "replace") if isinstance(text, str) else text or b"")
+        if not len(h):
+            return h
         width = min(self.n, len(h))
+        m = len(h) - width + 1
         with np.errstate(over="ignore"):
-            out = np.full(len(h) - width + 1, width, dtype=_U)
+            out = np.full(m, width, dtype=_U)
             for i in range(width):
-                out = mixed(out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-        return np.unique(out)
+                out += h[i : m + i] * self.weight[i]
+        return ascending(mixed(out))
 
 
 @dataclass(frozen=True)
@@ -77,55 +126,112 @@ class Threshold:
     def linked(self, overlap, x, y):
         return (self.a + self.b) * overlap >= self.a * (x + y)
 
-    def classes(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sizes of the classes, and for each the parts that sets are cut into and the spare ones among them.
-
-        Sets that may link lie in one class or in neighbouring ones; the smaller one's class says into how many parts both
-        are cut. A link's difference is at most k, so of k + 1 + spare parts at least 1 + spare are equal; a set with at
-        most ``spare`` empty parts then shares one that isn't empty."""
-        low = [1, 2]
-        while low[-1] <= most:
-            low.append(max(low[-1] + 1, self.b * (low[-1] - 1) // self.a + 1))
-        low = np.array(low)
-        high = np.append(low[1:] - 1, self.b * (low[-1] - 1) // self.a + 1)
-        k = (self.b - self.a) * (high + self.b * high // self.a) // (self.a + self.b)
-        spare = np.where(k > 0, np.ceil(2 * (k + 1) * np.exp(-low / (k + 1.0))).astype(int) + 1, 0)
-        return low, k + 1 + spare, spare
-
-
-def part_keys(s: np.ndarray, threshold: Threshold, low: np.ndarray, parts: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """Keys of the parts of one sorted set, for its own class and the one before. Classes whose links are equality need none."""
-    if not len(s):
-        return np.zeros(0, dtype=_U)
-    own = int(np.searchsorted(low, len(s), side="right")) - 1
-    out: list[np.ndarray] = []
-
-    def cut(hashes: np.ndarray, c: int, salt: int, depth: int) -> None:
-        m = int(parts[c])
-        edge = np.searchsorted(hashes, (np.arange(m + 1, dtype=np.float64) / m * 2.0**64).clip(max=2.0**64 - 2048).astype(_U))
-        edge[-1] = len(hashes)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mixed(hashes + _U(salt)), dtype=_U)])
-            body = total[edge[1:]] - total[edge[:-1]]
-            keys = mixed(mixed(body + _U((salt * 1_000_003 + c * 7919) & (2**63 - 1))) + np.arange(m, dtype=_U))
-        full = edge[1:] > edge[:-1]
-        out.append(keys[full])
-        if (~full).sum() > spare[c]:
-            # more empty parts than can be spared: the same set is cut once more by other hashes, which goes wrong for
-            # both or for neither of two sets whose only equal parts are empty
-            if depth == 3:
-                out.append(keys[~full])
-            else:
-                cut(np.sort(mixed(hashes + _U(depth + 1))), c, salt * 31 + depth + 1, depth + 1)
-
-    for c in (own, own - 1):
-        if c >= 0 and parts[c] > 1:
-            cut(s, c, 1, 0)
-    return np.concatenate(out) if out else np.zeros(0, dtype=_U)
+    def apart(self, x, y):
+        """How many shingles linked sets of these sizes may differ in, at most."""
+        return (self.b - self.a) * (x + y) // (self.a + self.b)
+
+    def prefix(self, n: int) -> tuple[int, int]:
+        """Of a set of n in the common order: how many first shingles hold the least one that it shares with any linked set, and
+        with a linked set that is no smaller."""
+        return n - -(-self.a * n // self.b) + 1, n - -(-2 * self.a * n // (self.a + self.b)) + 1
+
+
+class Order:
+    """The order that all sets share: frequent shingles last, those by the logarithm of their count, and all by hash."""
+
+    def __init__(self, shingle: np.ndarray, count: np.ndarray, busy: int = BUSY):
+        order = np.argsort(shingle)
+        self.shingle, self.level = shingle[order], np.where(count[order] > busy, 64, np.log2(count[order]).astype(np.int64) + 1)
+
+    def levels(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingle):
+            return np.zeros(len(s), dtype=np.int64)
+        at = np.searchsorted(self.shingle, s)
+        at[at == len(self.shingle)] = 0
+        return np.where(self.shingle[at] == s, self.level[at], 0)
+
+    def first(self, s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """The first k of a sorted set, and how many of them, at the end, are busy shingles."""
+        level = self.levels(s)
+        if not level.any():
+            return s[:k], 0
+        order = np.lexsort((s, level))[:k]
+        return s[order], int((level[order] == 64).sum())
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each of a power of two of slots, about one a shingle: whether an odd number of shingles falls into it. Two sets
+    differ in as many shingles, at least, as their bitmaps differ in bits."""
+    slots = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Bits that differ in two bitmaps; the longer one is folded to the other's length."""
+    p, q, n = int.from_bytes(x, "little"), int.from_bytes(y, "little"), min(len(x), len(y))
+    while len(x) > n:
+        x = x[: len(x) // 2]
+        p = (p >> 8 * len(x)) ^ (p & ((1 << 8 * len(x)) - 1))
+    while len(y) > n:
+        y = y[: len(y) // 2]
+        q = (q >> 8 * len(y)) ^ (q & ((1 << 8 * len(y)) - 1))
+    return (p ^ q).bit_count()
+
+
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps as rows of bytes, folded to ``width`` bytes and seen as 64-bit words."""
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return np.ascontiguousarray(rows).view(_U)
+
+
+def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
+    """Rows (a, b, nb) of an open set and another of a different component that sizes and bitmaps don't tell apart.
+    Both frames have doc_id, n, component and bitmap."""
+    out = [np.zeros((0, 3), dtype=np.int64)]
+    for width, mine in open_.groupby(open_.bitmap.str.len()):
+        for other_width, others in every.groupby(every.bitmap.str.len()):
+            least = int(min(width, other_width))
+            x = folded(np.frombuffer(b"".join(mine.bitmap), np.uint8).reshape(len(mine), -1), least)
+            y = folded(np.frombuffer(b"".join(others.bitmap), np.uint8).reshape(len(others), -1), least)
+            n, ids, comp = others.n.to_numpy(), others.doc_id.to_numpy(), others.component.to_numpy()
+            for i, (doc, size, c) in enumerate(zip(mine.doc_id, mine.n, mine.component, strict=True)):
+                near = np.flatnonzero((comp != c) & (threshold.a * np.maximum(n, size) <= threshold.b * np.minimum(n, size)))
+                near = near[np.bitwise_count(y[near] ^ x[i]).sum(axis=1) <= threshold.apart(n[near], size)]
+                other = ids[near]
+                out.append(np.column_stack([np.minimum(doc, other), np.maximum(doc, other), np.where(other > doc, n[near], size)]))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b", "nb"])
+
+
+def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, threshold: Threshold, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """What sets with a common prefix shingle lead to: pairs (a, b, size of b), and the rows of large groups.
+
+    Rows are sorted by key, then by size and id, and hold whole groups; ``head`` says that the shingle is among those that
+    the set shares with a linked set that is no smaller. In a large group a set is paired with the smallest one of its size class."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edge)
+    large = np.repeat(size > few, size)
+    rest = np.repeat(edge[1:], size) - np.arange(len(key)) - 1
+    rest[large | ~head] = 0
+    left = np.repeat(np.arange(len(key)), rest)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest)
+    fit = (threshold.a * n[right] <= threshold.b * n[left]) & (doc[left] != doc[right])
+    pairs = [np.column_stack([left[fit], right[fit]])]
+    for k in np.flatnonzero(size > few):
+        at, stop = edge[k], edge[k + 1]
+        while at < stop:
+            end = at + int(np.searchsorted(n[at:stop], threshold.b * n[at] // threshold.a, side="right"))
+            pairs.append(np.column_stack([np.full(end - at - 1, at), np.arange(at + 1, end)]))
+            at = end
+    x, y = np.concatenate(pairs).T
+    low = doc[x] < doc[y]
+    found = np.column_stack([np.where(low, doc[x], doc[y]), np.where(low, doc[y], doc[x]), np.where(low, n[y], n[x])])
+    return np.unique(found[found[:, 0] != found[:, 1]], axis=0), np.flatnonzero(large)
 
 
 class Block:
-    """Inverted lists over the sets of one block, and T-occurrence search in them."""
+    """Inverted lists over some sets, and T-occurrence search in them."""
 
     def __init__(self, sets: list[np.ndarray], threshold: Threshold):
         self.t, self.size = threshold, np.array([len(s) for s in sets])
@@ -181,48 +287,11 @@ class Block:
     def a_plus_b(self) -> int:
         return self.t.a + self.t.b
 
-    def forest(self) -> np.ndarray:
-        """The component of each set in this block, as the index of one of its sets.
-
-        A set is searched unless a searched one has reached it. Then only links between sets that were reached in different
-        components are unknown; one end of each lies outside the largest component, so those sets are searched too."""
-        n = len(self.size)
-        root = np.arange(n)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        searched, reached = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-
-        def run(i: int) -> None:
-            searched[i] = True
-            mine = find(i)
-            for j in self.search(i):
-                reached[j] = True
-                other = find(int(j))
-                if other != mine:
-                    low, high = min(mine, other), max(mine, other)
-                    root[high] = low
-                    mine = low
-
-        for i in range(n):
-            if not reached[i]:
-                run(i)
-        label = np.array([find(i) for i in range(n)])
-        open_ = ~searched
-        if open_.any():
-            largest = np.bincount(label[open_]).argmax()
-            for i in np.flatnonzero(open_ & (label != largest)):
-                run(int(i))
-        return np.array([find(i) for i in range(n)])
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternates large-star and small-star
-    steps until nothing changes; every step is a partial minimum by node and a join, written to the shared folder."""
+    steps until nothing changes; every step is a partial minimum by node and a join, written to the shared folder. A step's
+    table goes when the next one is written."""
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -239,8 +308,9 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was = digest(edges)
     while was[0]:
-        edges = materialize(star(both(star(both(edges), False)), True))
+        before, edges = edges, materialize(star(both(star(both(edges), False)), True))
         now = digest(edges)
+        release(before)
         if now == was:
             break
         was = now
@@ -248,11 +318,61 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def _frequent(words: int, most: int = 4_000_000):
+    """Shingles that several texts of a partition hold, with how many, from a summary of bounded size: when it is full, each
+    count goes down by the least there is, so counts are never too high."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, held, waiting, size = Shingler(words), (np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)), [], 0
+
+        def merge(summary):
+            flat, n = np.concatenate([summary[0], *waiting]), np.concatenate([summary[1], np.ones(size, dtype=np.int64)])
+            order = np.argsort(flat)
+            flat, n = flat[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
+            flat, n = flat[first], np.add.reduceat(n, first) if len(first) else n
+            while len(flat) > most:
+                n = n - n.min()
+                flat, n = flat[n > 0], n[n > 0]
+            return flat, n
+
+        for pdf in batches:
+            for text in pdf.text:
+                waiting.append(shingles(text))
+                size += len(waiting[-1])
+                if size > most // 2:
+                    held, waiting, size = merge(held), [], 0
+        flat, n = merge(held)
+        several = n > 1
+        yield pd.DataFrame({"shingle": _signed(flat[several]), "n": n[several]})
+
+    return run
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Threshold(9, 10), block: int | None = None) -> DataFrame:
+def _whole_runs(batches: Iterator[pd.DataFrame], column: str, least: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole runs of ``column``, of at least ``least`` rows but for the last one."""
+    held, rows = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        rows += len(pdf)
+        if rows < least:
+            continue
+        all_ = pd.concat(held, ignore_index=True)
+        value = all_[column].to_numpy()
+        last = int(np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))[-1])
+        if last:
+            yield all_[:last]
+        held, rows = [all_[last:]], len(all_) - last
+        least = max(least, 2 * rows)
+    if rows:
+        yield pd.concat(held, ignore_index=True)
+
+
+def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Threshold(9, 10), block: int = BLOCK_SHINGLES, few: int = FEW, frequent: int = FREQUENT, busy: int = BUSY) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable by links, itself included; links are pairs of sets with a Jaccard similarity
@@ -260,9 +380,12 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     with a null doc_id take no part and get a null component. Very long texts are read whole. Other columns are ignored.
     Sets are held as 64-bit hashes: two texts could only be linked wrongly by a collision within that pair.
     """
-    block = block or BLOCK_SHINGLES
-    low, parts, spare = threshold.classes(1 << 27)
     ship(docs.sparkSession)
+    lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    named = lean.filter(F.col("doc_id").isNotNull())
+    counted = named.select("text").mapInPandas(_frequent(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= frequent).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
+    common = Order(top.shingle.to_numpy("int64").view(_U), top.n.to_numpy("int64"), busy)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
@@ -270,93 +393,163 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
             rows = []
             with np.errstate(over="ignore"):
                 for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
-                    s = shingles(text if isinstance(text, str) else None)
+                    s = shingles(text)
+                    if not len(s):
+                        rows.append((doc_id, 0, 0, 0, 0, 0, b"", b""))
+                        continue
                     both = np.array([mixed(s).sum(dtype=_U), mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)])
-                    rows.append((doc_id, len(s), *map(int, _signed(both))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2"]).astype({"doc_id": "Int64"})
+                    probe, head = threshold.prefix(len(s))
+                    keys, often = common.first(s, probe)
+                    rows.append((doc_id, len(s), *map(int, _signed(both)), head, often, keys.tobytes(), parity(s)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "head", "busy", "keys", "bitmap"]).astype({"doc_id": "Int64"})
 
-    def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(words)
-        for pdf in batches:
-            keys, ids_, held = [], [], 0
-            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
-                part = part_keys(shingles(text if isinstance(text, str) else None), threshold, low, parts, spare)
-                keys.append(_signed(part))
-                ids_.append(np.full(len(part), doc_id, dtype=np.int64))
-                held += len(part)
-                if held > 200_000:
-                    yield pd.DataFrame({"doc_id": np.concatenate(ids_), "key": np.concatenate(keys)})
-                    keys, ids_, held = [], [], 0
-            if keys:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids_), "key": np.concatenate(keys)})
-
-    lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = lean.filter(F.col("doc_id").isNotNull())
-    signed = materialize(named.mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long"))
+    made = "doc_id long, n long, h1 long, h2 long, head int, busy int, keys binary, bitmap binary"
+    signed = materialize(named.mapInPandas(signatures, made))
     same = ["n", "h1", "h2"]
     rep = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    ids = signed.select("doc_id", *same)
-    copies = materialize(ids.join(rep, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
-    own = copies.filter("n > 0 and doc_id = rep").select("doc_id", *same).distinct()
-    # far fewer documents are copies than are not, so the copies are what the texts are joined with
-    rest = copies.select("doc_id").distinct().join(own.select("doc_id").distinct(), "doc_id", "left_anti").withColumnRenamed("doc_id", "_id")
-    keyed = named.join(bounded_broadcast(materialize(rest)), F.col("doc_id") == F.col("_id"), "left_anti").mapInPandas(keys_of, "doc_id long, key long")
-    by_key = Window.partitionBy("key")
-    pairs = keyed.withColumn("first", F.min("doc_id").over(by_key)).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    blocks = components(pairs)
-    sizes = own.select("doc_id", "n").join(blocks, F.col("doc_id") == F.col("node")).groupBy("component").agg(F.sum("n").alias("total"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("total") * 2 / block)).cast("long")
-    sizes = sizes.select(F.col("component").alias("_c"), F.when(F.col("total") <= block, 1).otherwise(chunks).cast("long").alias("chunks"))
-    members = materialize(blocks.join(sizes, F.col("component") == F.col("_c")).select(F.col("node").alias("_node"), "component", "chunks"))
+    copies = materialize(split_join(signed.select("doc_id", *same), rep, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
+    # a set stands for its copies; far fewer texts are copies than are not, so the copies are what is left out
+    rest = materialize(copies.filter("n > 0 and doc_id != rep").select("doc_id", *same).distinct())
+    own = signed.filter("n > 0").join(bounded_broadcast(rest), ["doc_id", *same], "left_anti")
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                some = pdf[at : at + 1000]
+                length = some["keys"].str.len().to_numpy() // 8
+                place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                whole = lambda c: np.repeat(some[c].to_numpy("int64"), length)  # noqa: E731, B023
+                yield pd.DataFrame({"key": np.frombuffer(b"".join(some["keys"]), dtype=np.int64), "n": whole("n"), "doc_id": whole("doc_id"), "head": place < whole("head"), "busy": place >= np.repeat(length, length) - whole("busy")})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_runs(batches, "key"):
+            key, n, doc = (pdf[c].to_numpy() for c in ("key", "n", "doc_id"))
+            pairs, large = meeting(key, n, doc, pdf["head"].to_numpy(), threshold, few)
+            yield pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "pair": True})
+            yield pd.DataFrame({"key": key[large], "a": doc[large], "b": np.zeros(len(large), dtype=np.int64), "n": n[large], "pair": False})
+
+    rows = own.select("doc_id", "n", "head", "busy", "keys").mapInPandas(emit, "key long, n long, doc_id long, head boolean, busy boolean")
+    dealt = rows.filter("not busy").repartition("key").sortWithinPartitions("key", "n", "doc_id")
+    met = materialize(dealt.mapInPandas(meet, "key long, a long, b long, n long, pair boolean"))
+    large = met.filter("not pair").select("key", F.col("a").alias("doc_id"), "n")
+    pairs = met.filter("pair").select("a", "b", F.col("n").alias("nb"))
+    if not signed.filter("busy > 0").isEmpty():
+        # busy groups: the smallest set of each size class comes from a partial aggregation, and its partners stay where they are
+        often = rows.filter("busy").select("key", "n", "doc_id", F.floor(F.log(F.col("n")) / float(np.log(threshold.b / threshold.a))).alias("size"))
+        firsts = often.groupBy("key", "size").agg(F.min("doc_id").alias("a"))
+        star = split_join(often, firsts, ["key", "size"]).filter("a != doc_id").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+        large, pairs = large.unionByName(often.select("key", "doc_id", "n")), pairs.unionByName(star)
+    bitmaps = own.select("doc_id", "n", "bitmap")
+
+    def near(candidates: DataFrame) -> DataFrame:
+        """The pairs that bitmaps don't tell apart."""
+
+        @F.pandas_udf("boolean")
+        def far(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+            return pd.Series([bits_apart(p, q) > threshold.apart(i, j) for p, q, i, j in zip(x, y, n, m, strict=True)], dtype=bool)
+
+        one = bitmaps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+        two = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("_nb"), F.col("bitmap").alias("y"))
+        both = split_join(candidates, one, ["a"]).join(two, "b")
+        return materialize(both.filter(~far("x", "y", "na", "_nb")).select("a", "b", "nb").distinct())
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
         for pdf in batches:
             out, held = [], 0
-            for doc_id, component, n_chunks, text in zip(pdf.doc_id, pdf.component, pdf.chunks, pdf.text, strict=True):
-                s = shingles(text if isinstance(text, str) else None)
-                mine = xxhash.xxh3_64_intdigest(s.tobytes()) % n_chunks
-                others = range(n_chunks) if n_chunks > 1 else (0,)
-                for o in others:
-                    out.append((f"{component}:{min(mine, o)}:{max(mine, o)}", doc_id, s.tobytes()))
-                    held += len(s)
-                    if held > 500_000:
-                        yield pd.DataFrame(out, columns=["block", "doc_id", "shingles"])
+            for doc_id, blocks, text in zip(pdf.doc_id, pdf.blocks, pdf.text, strict=True):
+                raw = shingles(text).tobytes()
+                for name in blocks:
+                    out.append((name["hub"], name["chunk"], name["hub"] == doc_id, doc_id, raw))
+                    held += len(raw)
+                    if held > 4_000_000:
+                        yield pd.DataFrame(out, columns=["hub", "chunk", "is_hub", "doc_id", "shingles"])
                         out, held = [], 0
-            yield pd.DataFrame(out, columns=["block", "doc_id", "shingles"])
+            yield pd.DataFrame(out, columns=["hub", "chunk", "is_hub", "doc_id", "shingles"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ids_, sets, links = None, [], [], []
 
         def close() -> None:
-            if len(sets) > 1:
-                order = np.lexsort((ids_, [len(s) for s in sets]))
-                label = Block([sets[i] for i in order], threshold).forest()
-                links.extend((ids_[order[i]], ids_[order[j]]) for i, j in enumerate(label) if i != j)
+            hubs = [i for i, d in enumerate(ids_) if d == now[0]]
+            if hubs and len(sets) > len(hubs):
+                lists = Block(sets, threshold)
+                links.extend((now[0], ids_[j]) for i in hubs for j in lists.search(i) if ids_[j] != now[0])
 
         for pdf in batches:
-            for name, doc_id, raw in zip(pdf.block, pdf.doc_id, pdf.shingles, strict=True):
-                if name != now:
-                    close()
-                    now, ids_, sets = name, [], []
-                ids_.append(doc_id)
-                sets.append(np.frombuffer(raw, dtype=_U))
+            for hub, chunk, doc_id, raw in zip(pdf.hub, pdf.chunk, pdf.doc_id, pdf.shingles, strict=True):
+                if (hub, chunk) != now:
+                    if now:
+                        close()
+                    now, ids_, sets = (hub, chunk), [], []
+                if raw:
+                    ids_.append(doc_id)
+                    sets.append(np.frombuffer(raw, dtype=_U))
             if len(links) > 10_000:
-                yield pd.DataFrame(links, columns=["a", "b"])
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
                 links = []
-        close()
+        if now:
+            close()
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    texts = named.join(bounded_broadcast(members), F.col("doc_id") == F.col("_node"))
-    made = texts.select("doc_id", "component", "chunks", "text").mapInPandas(sets_of, "block string, doc_id long, shingles binary")
-    links = made.repartition("block").sortWithinPartitions("block", "doc_id").mapInPandas(search, "a long, b long")
+    def verified(candidates: DataFrame) -> DataFrame:
+        """The linked ones of distinct pairs: each first set is searched in the lists of its partners, chunk by chunk."""
+        hubs = materialize(candidates.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("nb") / block)).cast("int").alias("chunks")))
+        many = hubs.filter("chunks > 1").select("a", F.col("chunks").alias("_k"))
+        partners = candidates.join(bounded_broadcast(many), "a", "left")
+        chunk = F.pmod(F.xxhash64("b"), F.coalesce("_k", F.lit(1))).cast("int")
+        places = partners.select(F.col("b").alias("_node"), F.struct(F.col("a").alias("hub"), chunk.alias("chunk")).alias("at"))
+        places = places.unionByName(hubs.select(F.col("a").alias("_node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("a").alias("hub"), c.alias("chunk")))).alias("at")))
+        placed = materialize(places.groupBy("_node").agg(F.collect_list("at").alias("blocks")))
+        texts = named.join(bounded_broadcast(placed), F.col("doc_id") == F.col("_node")).select("doc_id", "blocks", "text")
+        sets = texts.mapInPandas(sets_of, "hub long, chunk int, is_hub boolean, doc_id long, shingles binary")
+        found = materialize(sets.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.desc("is_hub"), "doc_id").mapInPandas(search, "a long, b long"))
+        release(hubs)
+        release(placed)
+        return found
+
+    alike = near(pairs.distinct())
+    one_each = materialize(alike.groupBy("b").agg(F.min("a").alias("a"), F.first("nb").alias("nb")).select("a", "b", "nb"))
     # rows of one doc_id count as linked, whatever their texts
-    by_id = F.min("rep").over(Window.partitionBy("doc_id"))
-    again = copies.select("doc_id", "rep").distinct().withColumn("least", by_id).filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    found = components(links.unionByName(again))
-    joined = copies.join(found, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
-    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
-    nameless = lean.filter(F.col("doc_id").isNull()).mapInPandas(signatures, "doc_id long, n long, h1 long, h2 long")
+    by_id = copies.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most")
+    again = copies.join(by_id, "doc_id").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    links = materialize(verified(one_each).select("a", "b").unionByName(again))
+    found = components(links)
+
+    # what is still open: other pairs of different components, and sets of large groups outside the group's main component
+    def with_component(df: DataFrame, node: str, name: str) -> DataFrame:
+        side = found.select(F.col("node").alias(node), F.col("component").alias("_c"))
+        return df.join(side, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+    other = with_component(with_component(alike.join(one_each.select("a", "b"), ["a", "b"], "left_anti"), "a", "_ca"), "b", "_cb").filter("_ca != _cb").select("a", "b", "nb")
+    placed = materialize(with_component(large.distinct(), "doc_id", "component"))
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    groups = per.groupBy("key").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    groups = materialize(groups.select("key", "rows", F.col("top.component").alias("main"), (F.col("rows") - F.col("top.m")).alias("open")))
+    more = other
+    if not groups.isEmpty():
+        spread = split_join(placed, groups, ["key"])
+        spread = spread.join(bitmaps.select("doc_id", "bitmap", "n"), ["doc_id", "n"]).withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
+        mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        open_ = spread.filter("component != main").withColumn("i", F.pmod(mine, F.col("i"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j") - 1)))
+        every = spread.withColumn("j", F.pmod(mine, F.col("j"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
+        cell = ["key", "i", "j"]
+        columns = [F.col(c).cast("long").alias(c) for c in cell] + [F.col(c).alias(c) for c in ("doc_id", "n", "component", "bitmap")]
+
+        def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            return close_pairs(x, y, threshold) if len(x) and len(y) else pd.DataFrame({"a": [], "b": [], "nb": []}, dtype="int64")
+
+        cells = open_.select(*columns).groupBy(*cell).cogroup(every.select(*columns).groupBy(*cell)).applyInPandas(compare, "a long, b long, nb long")
+        more = other.unionByName(cells).distinct().join(one_each.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(more)
+    if not more.isEmpty():
+        late = verified(more)
+        if not late.isEmpty():
+            found = components(links.unionByName(late))
+    sides = found.select(F.col("node").alias("rep"), "component")
+    joined = split_join(copies, sides, ["rep"], "left")
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    nameless = lean.filter(F.col("doc_id").isNull()).mapInPandas(signatures, made)
     return out.unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
