@@ -89,9 +89,20 @@ def test_close_pairs_equal_all_pairs():
     rng, t = np.random.default_rng(6), Threshold(4, 5)
     sets = [s for size in (60, 64, 66, 70, 130) for _ in range(12) for s in near_sets(rng, t, size)]
     frame = pd.DataFrame({"doc_id": np.arange(len(sets)), "n": [len(s) for s in sets], "component": np.arange(len(sets)) // 3, "bitmap": [parity(s) for s in sets]})
-    got = set(map(tuple, close_pairs(frame[:50], frame, t).to_numpy()))
+    got = set(map(tuple, close_pairs(frame[:50], frame, t, False).to_numpy()))
     want = {(i, j, len(sets[j])) for i in range(50) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and t.a * max(len(sets[i]), len(sets[j])) <= t.b * min(len(sets[i]), len(sets[j])) and bits_apart(parity(sets[i]), parity(sets[j])) <= t.apart(len(sets[i]), len(sets[j]))}
-    assert got == want and len(want) > 5
+    assert got == want and len(want) > 3
+    # a forest connects the same components with fewer pairs
+    few = set(map(tuple, close_pairs(frame[:50], frame, t, True).to_numpy()))
+    assert few <= want and joined(few, len(sets)) == joined(want, len(sets))
+
+
+def joined(pairs, n):
+    root = [i // 3 for i in range(n)]
+    for a, b, _ in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    return root
 
 
 def test_words_are_cut_and_hashed_as_bytes():

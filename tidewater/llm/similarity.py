@@ -28,7 +28,7 @@ from tidewater.spark import bounded_broadcast, materialize, release, ship, split
 #: Shingles of one task's search: the partners of a set are dealt into chunks of about this many.
 BLOCK_SHINGLES = 500_000
 #: Sets with a common prefix shingle that are all paired with each other; of more, each is paired with one of its size first.
-FEW = 24
+FEW = 40
 #: Rows of a cell in which sets of a large group are compared by their bitmaps: undecided ones, and all.
 OPEN_ROWS, ALL_ROWS = 512, 8192
 #: A shingle counts as frequent from so many texts on; so many frequent ones are kept (they only order the sets), and the group
@@ -160,9 +160,9 @@ class Order:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """A bit for each of a power of two of slots, about one a shingle: whether an odd number of shingles falls into it. Two sets
-    differ in as many shingles, at least, as their bitmaps differ in bits."""
-    slots = 1 << max(6, int(len(s) - 1).bit_length())
+    """A bit for each of a power of two of slots, about four a shingle: whether an odd number of shingles falls into it. Two sets
+    differ in as many shingles, at least, as their bitmaps differ in bits, and in hardly more."""
+    slots = 4 << max(4, int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -186,22 +186,54 @@ def folded(rows: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(rows).view(_U)
 
 
-def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
-    """Rows (a, b, nb) of an open set and another of a different component that sizes and bitmaps don't tell apart.
-    Both frames have doc_id, n, component and bitmap."""
-    out = [np.zeros((0, 3), dtype=np.int64)]
-    for width, mine in open_.groupby(open_.bitmap.str.len()):
-        for other_width, others in every.groupby(every.bitmap.str.len()):
-            least = int(min(width, other_width))
-            x = folded(np.frombuffer(b"".join(mine.bitmap), np.uint8).reshape(len(mine), -1), least)
-            y = folded(np.frombuffer(b"".join(others.bitmap), np.uint8).reshape(len(others), -1), least)
-            n, ids, comp = others.n.to_numpy(), others.doc_id.to_numpy(), others.component.to_numpy()
-            for i, (doc, size, c) in enumerate(zip(mine.doc_id, mine.n, mine.component, strict=True)):
-                near = np.flatnonzero((comp != c) & (threshold.a * np.maximum(n, size) <= threshold.b * np.minimum(n, size)))
-                near = near[np.bitwise_count(y[near] ^ x[i]).sum(axis=1) <= threshold.apart(n[near], size)]
-                other = ids[near]
-                out.append(np.column_stack([np.minimum(doc, other), np.maximum(doc, other), np.where(other > doc, n[near], size)]))
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b", "nb"])
+def _root(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        root[x] = x = root.get(root[x], root[x])
+    return x
+
+
+def _join(root: dict[int, int], x: int, y: int) -> bool:
+    """Whether two components were apart; now they aren't."""
+    x, y = _root(root, x), _root(root, y)
+    root[max(x, y)] = min(x, y)
+    return x != y
+
+
+def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold, forest: bool) -> pd.DataFrame:
+    """Rows (a, b, nb) of an open set and another of a different component that sizes and bitmaps don't tell apart: all of them, or
+    only such that connect as much as all would, the nearest for each. Both frames have doc_id, n, component and bitmap."""
+    out, mine, comp = [], open_.component.to_numpy().copy(), every.component.to_numpy().copy()
+    n, ids, size, docs = every.n.to_numpy(), every.doc_id.to_numpy(), open_.n.to_numpy(), open_.doc_id.to_numpy()
+    bitmap, bitmaps = open_.bitmap.to_numpy(), every.bitmap.to_numpy()
+    width, widths = np.array([len(b) for b in bitmap]), np.array([len(b) for b in bitmaps])
+    for one in np.unique(width):
+        rows = np.flatnonzero(width == one)
+        for other in np.unique(widths):
+            at, least = np.flatnonzero(widths == other), int(min(one, other))
+            x = folded(np.frombuffer(b"".join(bitmap[rows]), np.uint8).reshape(len(rows), -1), least)
+            y = folded(np.frombuffer(b"".join(bitmaps[at]), np.uint8).reshape(len(at), -1), least)
+            step = max(1, 1_000_000 // y.size)
+            for low in range(0, len(rows), step):
+                r = rows[low : low + step]
+                i, j = np.nonzero((mine[r, None] != comp[at]) & (threshold.a * np.maximum(n[at], size[r, None]) <= threshold.b * np.minimum(n[at], size[r, None])))
+                far = np.bitwise_count(y[j] ^ x[low + i]).sum(axis=1, dtype=np.int64)
+                i, j = r[i], at[j]
+                fit = far <= threshold.apart(n[j], size[i])
+                i, j, far = i[fit], j[fit], far[fit]
+                if forest and len(i):
+                    near = np.argsort(far, kind="stable")
+                    i, j = i[near], j[near]
+                    edges = np.unique(np.column_stack([mine[i], comp[j]]), axis=0, return_index=True)[1]
+                    edges.sort()
+                    root: dict[int, int] = {}
+                    keep = [k for k in edges if _join(root, int(mine[i[k]]), int(comp[j[k]]))]
+                    for label in (mine, comp):
+                        value, where = np.unique(label, return_inverse=True)
+                        label[:] = np.array([_root(root, int(v)) for v in value])[where]
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    out.append(np.column_stack([np.minimum(docs[i], ids[j]), np.maximum(docs[i], ids[j]), np.where(ids[j] > docs[i], n[j], size[i])]))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64), columns=["a", "b", "nb"])
 
 
 def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, threshold: Threshold, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +350,7 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _frequent(words: int, most: int = 4_000_000):
+def _frequent(words: int, most: int = 1_000_000):
     """Shingles that several texts of a partition hold, with how many, from a summary of bounded size: when it is full, each
     count goes down by the least there is, so counts are never too high."""
 
@@ -516,36 +548,54 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     links = materialize(verified(one_each).select("a", "b").unionByName(again))
     found = components(links)
 
-    # what is still open: other pairs of different components, and sets of large groups outside the group's main component
     def with_component(df: DataFrame, node: str, name: str) -> DataFrame:
         side = found.select(F.col("node").alias(node), F.col("component").alias("_c"))
         return df.join(side, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    other = with_component(with_component(alike.join(one_each.select("a", "b"), ["a", "b"], "left_anti"), "a", "_ca"), "b", "_cb").filter("_ca != _cb").select("a", "b", "nb")
-    placed = materialize(with_component(large.distinct(), "doc_id", "component"))
-    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    groups = per.groupBy("key").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    groups = materialize(groups.select("key", "rows", F.col("top.component").alias("main"), (F.col("rows") - F.col("top.m")).alias("open")))
-    more = other
-    if not groups.isEmpty():
-        spread = split_join(placed, groups, ["key"])
-        spread = spread.join(bitmaps.select("doc_id", "bitmap", "n"), ["doc_id", "n"]).withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
+    def in_cells(forest: bool) -> DataFrame | None:
+        """Near pairs in large groups: sets outside a group's main component against all of the group, dealt into cells."""
+        placed = materialize(with_component(large, "doc_id", "component"))
+        per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        groups = per.groupBy("key").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        groups = materialize(groups.select("key", "rows", F.col("top.component").alias("main"), (F.col("rows") - F.col("top.m")).alias("open")))
+        if groups.isEmpty():
+            return None
+        spread = split_join(placed, groups, ["key"]).join(bitmaps.select("doc_id", "bitmap", "n"), ["doc_id", "n"])
         mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+        spread = spread.withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
         open_ = spread.filter("component != main").withColumn("i", F.pmod(mine, F.col("i"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j") - 1)))
         every = spread.withColumn("j", F.pmod(mine, F.col("j"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
-        cell = ["key", "i", "j"]
-        columns = [F.col(c).cast("long").alias(c) for c in cell] + [F.col(c).alias(c) for c in ("doc_id", "n", "component", "bitmap")]
-
-        def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            return close_pairs(x, y, threshold) if len(x) and len(y) else pd.DataFrame({"a": [], "b": [], "nb": []}, dtype="int64")
-
-        cells = open_.select(*columns).groupBy(*cell).cogroup(every.select(*columns).groupBy(*cell)).applyInPandas(compare, "a long, b long, nb long")
-        more = other.unionByName(cells).distinct().join(one_each.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(more)
-    if not more.isEmpty():
-        late = verified(more)
+        columns = ["key", "i", "j", "doc_id", "n", "component", "bitmap"]
+        rows = open_.withColumn("open", F.lit(True)).select(*columns, "open").unionByName(every.withColumn("open", F.lit(False)).select(*columns, "open"))
+        cell = F.xxhash64("key", "i", "j").alias("cell")
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in _whole_runs(batches, "cell", 1):
+                edge = np.flatnonzero(np.diff(pdf.cell.to_numpy(), prepend=pdf.cell.iloc[0] - 1, append=pdf.cell.iloc[-1] + 1))
+                is_open = pdf.open.to_numpy()
+                for at, stop in zip(edge[:-1], edge[1:], strict=True):
+                    k = at + int(is_open[at:stop].sum())
+                    if at < k < stop:
+                        yield close_pairs(pdf[at:k], pdf[k:stop], threshold, forest)
+
+        return rows.select(cell, *columns[3:], "open").repartition("cell").sortWithinPartitions("cell", F.desc("open"), "doc_id").mapInPandas(compare, "a long, b long, nb long")
+
+    # what is still open: other pairs of different components, and in large groups first what would connect them, as nearly all of
+    # it will; then whatever is still apart
+    large = materialize(large.distinct())
+    known = one_each
+    for forest in (True, False):
+        cells = in_cells(forest)
+        pairs = alike if cells is None else alike.unionByName(cells).distinct()
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(with_component(with_component(pairs, "a", "_ca"), "b", "_cb").filter("_ca != _cb").select("a", "b", "nb"))
+        if pairs.isEmpty():
+            break
+        late = verified(pairs)
+        known = known.unionByName(pairs)
         if not late.isEmpty():
-            found = components(links.unionByName(late))
+            links = links.unionByName(late)
+            found = components(links)
     sides = found.select(F.col("node").alias("rep"), "component")
     joined = split_join(copies, sides, ["rep"], "left")
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
