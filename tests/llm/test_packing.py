@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewater.llm.packing import Encoder, Plan, joined_crc, pack, parts_of, tokenizer_path
+from tidewater.llm.packing import Encoder, Plan, joined_crc, pack, parts_of, tokenizer_path, combinations, solve
 
 
 def ids_of(text):
@@ -42,6 +42,24 @@ def test_padding_is_little_for_any_histogram():
     assert all(sum(parts_of(n)) == n for n in range(1, 4096))
 
 
+def test_most_pieces_come_from_the_least_squares():
+    rng = np.random.default_rng(5)
+    for n in (10_000, 100_000):
+        lengths = rng.lognormal(6, 1, n).astype(int) % 4095 + 1
+        plan = Plan(np.bincount(lengths, minlength=4097))
+        assert plan.residual == n and plan.solved >= 0.7 * n
+
+
+def test_counts_fit_the_histogram():
+    rng = np.random.default_rng(6)
+    columns, times = combinations(np.arange(1, 400) * 10, 4000)
+    assert ((columns * times).sum(axis=1) == 4000).all() and len(columns) > 1000
+    histogram = np.bincount(rng.integers(1, 400, 30_000) * 10, minlength=4001)
+    x = solve(columns, times, histogram.astype(float))
+    used = np.bincount(columns.ravel(), weights=(x[:, None] * times).ravel(), minlength=4001)
+    assert (x >= 0).all() and (used[1:] <= histogram[1:] + 1e-6).all() and used[1:].sum() > 0.7 * histogram.sum() and (x > 0).sum() < 1000
+
+
 def frame(spark, data):
     return spark.createDataFrame(data, "doc_id long, text string, length string, start string, rank string")
 

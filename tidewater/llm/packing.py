@@ -23,8 +23,8 @@ WINDOW, END_ID = 4096, 2
 BLOCK = 64
 #: A greedy pattern is taken as it is when it leaves at most this many tokens open; what remains is cut.
 OPEN_TOKENS = 8
-#: At most so many length combinations enter the least squares.
-MAX_COLUMNS = 60_000
+#: At most so many length combinations enter the least squares; other lengths that each one meets in them.
+MAX_COLUMNS, SPREAD = 60_000, 16
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -122,54 +122,64 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     return lean.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, blocks binary")
 
 
-def combinations(present: np.ndarray, window: int, most: int = MAX_COLUMNS) -> np.ndarray:
-    """Shallow combinations of present lengths that fill the window exactly: all pairs, triples that hold one of a spread
-    of lengths, and quadruples that hold two. Rows are padded with 0."""
+def combinations(present: np.ndarray, window: int, most: int = MAX_COLUMNS) -> tuple[np.ndarray, np.ndarray]:
+    """Shallow combinations of present lengths that fill the window exactly, as lengths and how often each occurs: all pairs, and
+    one or two of any length, some of another that changes from length to length, and whatever one length fills the rest. Unused
+    places hold 0."""
     has = np.zeros(window + 1, dtype=bool)
     has[present] = True
-    found = [np.array([[a, window - a, 0, 0] for a in present if a <= window - a and has[window - a]], dtype=np.int64).reshape(-1, 4)]
-    spread = lambda k: np.unique(present[np.linspace(0, len(present) - 1, min(k, len(present))).astype(int)]) if len(present) else present
-    for heads in ([(a,) for a in spread(40)], [(a, b) for i, a in enumerate(spread(10)) for b in spread(10)[i:]]):
-        for head in heads:
-            rest = window - sum(head)
-            b = present[(present >= head[-1]) & (present <= rest // 2)] if rest > 0 else present[:0]
-            b = b[has[rest - b]]
-            row = np.zeros((len(b), 4), dtype=np.int64)
-            row[:, : len(head)], row[:, 2], row[:, 3] = head, b, rest - b
-            found.append(row)
-    return np.unique(np.sort(np.vstack(found), axis=1)[:, ::-1], axis=0)[:most] if sum(map(len, found)) <= most else np.unique(np.sort(np.vstack(found), axis=1)[:, ::-1], axis=0)[:: -(-sum(map(len, found)) // most)]
-
-
-def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares: repeat counts x >= 0 that bring the used lengths nearest to the histogram.
-
-    Accelerated projected gradient on the sparse system. Long pieces weigh more, as they are harder to place later.
+    pair = present[(2 * present <= window)]
+    pair = pair[has[window - pair]]
+    lengths, times = [np.column_stack([window - pair, pair, 0 * pair])], [np.tile([1, 1, 0], (len(pair), 1))]
+    n = len(present)
+    for k in range(min(SPREAD, n)):
+        a, b = present, present[(np.arange(n) * 7919 + k * n // SPREAD) % n]
+        for p in (1, 2):
+            for q in (1, 2, 4, 8):
+                c = window - p * a - q * b
+                fit = (c > 0) & (a != b) & (c != a) & (c != b)
+                fit[fit] = has[c[fit]]
+                lengths.append(np.column_stack([a, b, c])[fit])
+                times.append(np.tile([p, q, 1], (int(fit.sum()), 1)))
+    every, often = np.vstack(lengths), np.vstack(times)
+    step = -(-len(every) // most) or 1
+    return every[::step], often[::step]
+
+
+def solve(columns: np.ndarray, times: np.ndarray, histogram: np.ndarray, rounds: int = 8000) -> np.ndarray:
+    """Non-negative least squares: repeat counts x >= 0 that bring the used lengths nearest to the histogram, of which no length is
+    used more often than it occurs, so that counts survive rounding.
+
+    Coordinate descent from zero: the count that lowers the squares most moves to its own optimum, or to where a length runs out.
+    Few columns become active, about one a length. Ends when no count can move by a half. Longer pieces weigh more, as they are
+    harder to place later.
     """
     if not len(columns):
         return np.zeros(0)
     window = len(histogram) - 1
-    weight = np.sqrt(np.arange(window + 1) / window)
-    weight[0] = 0
-    flat = columns.ravel()
-
-    def image(x):
-        y = np.bincount(flat, weights=np.repeat(x, columns.shape[1]), minlength=window + 1)
-        return y * weight
-
-    def back(y):
-        return (y * weight)[columns].sum(axis=1)
-
-    goal, v = histogram * weight, np.ones(len(columns))
-    for _ in range(12):  # the step, from the largest singular value
-        v = back(image(v))
-        top = np.linalg.norm(v)
-        v /= top
-    x = z = np.zeros(len(columns))
-    t = 1.0
+    weight = 0.5 + np.arange(window + 1) / window
+    rest = histogram.astype(float)
+    order = np.argsort(columns.ravel(), kind="stable")
+    holder, first = order // columns.shape[1], np.searchsorted(columns.ravel()[order], np.arange(window + 2))
+    curve = (times**2 * weight[columns]).sum(axis=1)
+    x = np.zeros(len(columns))
+
+    def gains(c: np.ndarray, m: np.ndarray, bend: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far each count can go, and by how much that lowers the squares."""
+        optimum = (m * weight[c] * rest[c]).sum(axis=1) / bend
+        step = np.minimum(optimum, np.where(m > 0, rest[c] / np.maximum(m, 1), np.inf).min(axis=1))
+        return step, np.where(step < 0.5, 0.0, step * (2 * optimum - step) * bend)
+
+    step, gain = gains(columns, times, curve)
     for _ in range(rounds):
-        new = np.maximum(0, z - back(image(z) - goal) / (1.05 * top))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, x, t = new + (t - 1) / t_new * (new - x), new, t_new
+        j = int(np.argmax(gain))
+        if gain[j] <= 0:
+            break
+        x[j] += step[j]
+        used = columns[j][times[j] > 0]
+        rest[used] -= step[j] * times[j][times[j] > 0]
+        touched = np.concatenate([holder[first[k] : first[k + 1]] for k in used])
+        step[touched], gain[touched] = gains(columns[touched], times[touched], curve[touched])
     return x
 
 
@@ -222,17 +232,23 @@ class Plan:
         if left[window]:
             first.append(({window: 1}, int(left[window])))
             left[window] = 0
-        columns = combinations(np.flatnonzero(left), window)
-        x = solve(columns, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 0.5:
+        self.residual = int(left.sum())
+        # solve, round, and solve again for what is left, while that still places pieces
+        while True:
+            (columns, times), before = combinations(np.flatnonzero(left), window), int(left.sum())
+            x = solve(columns, times, left.astype(float))
+            for i in np.argsort(-x, kind="stable"):
+                if x[i] < 0.5:
+                    break
+                pattern = {int(k): int(m) for k, m in zip(columns[i], times[i], strict=True) if m}
+                repeats = min(max(1, int(round(x[i]))), *(int(left[k]) // m for k, m in pattern.items()))
+                if repeats > 0:
+                    first.append((pattern, repeats))
+                    for k, m in pattern.items():
+                        left[k] -= m * repeats
+            if before - int(left.sum()) <= before // 10:
                 break
-            pattern = {int(k): int((columns[i] == k).sum()) for k in set(columns[i].tolist()) - {0}}
-            repeats = min(int(round(x[i])), *(int(left[k]) // m for k, m in pattern.items()))
-            if repeats > 0:
-                first.append((pattern, repeats))
-                for k, m in pattern.items():
-                    left[k] -= m * repeats
+        self.solved = self.residual - int(left.sum())  # pieces that the least squares place
         first += greedy(left, window, OPEN_TOKENS)
         self.used = histogram - left  # ranks from here on are cut
         self.first = self._table(first)
