@@ -128,9 +128,11 @@ def combinations(present: np.ndarray, window: int, most: int = MAX_COLUMNS) -> t
     places hold 0."""
     has = np.zeros(window + 1, dtype=bool)
     has[present] = True
-    pair = present[(2 * present <= window)]
-    pair = pair[has[window - pair]]
+    pair = present[2 * present < window]
+    pair, half = pair[has[window - pair]], present[2 * present == window]
     lengths, times = [np.column_stack([window - pair, pair, 0 * pair])], [np.tile([1, 1, 0], (len(pair), 1))]
+    lengths.append(np.column_stack([half, 0 * half, 0 * half]))
+    times.append(np.tile([2, 0, 0], (len(half), 1)))
     n = len(present)
     for k in range(min(SPREAD, n)):
         a, b = present, present[(np.arange(n) * 7919 + k * n // SPREAD) % n]
