@@ -107,7 +107,12 @@ def test_json_source_and_cache(spark, tables, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(module))
     got = ir.read_json(spark, str(tmp_path / "m.json"))
     assert got["calls"].first()["callee"] == "malloc" and got["cfg_edges"].count() == 1 and got["functions"].count() == 2
+    assert got["calls"].first()["is_external"] and got["instructions"].first()["kind"] == "Call"
+    assert got["calls"].columns == tables["calls"].columns or set(got["calls"].columns) == set(tables["calls"].columns)
+    assert {name: set(got[name].columns) for name in tables} == {name: set(df.columns) for name, df in tables.items()} | {"functions": set(got["functions"].columns)}
+    assert [x["issue_kind"] for x in engine.issues(spark, got).collect()] == ["DefiniteLeak"]
     ir.save({"calls": tables["calls"]}, str(tmp_path / "cache"))
+    assert ir.load(spark, str(tmp_path / "cache"), ["calls"], ["a.ll"])["calls"].count() == 11 and ir.load(spark, str(tmp_path / "cache"), ["calls"], ["none"])["calls"].count() == 0
     assert spark.read.parquet(str(tmp_path / "cache/calls")).filter("module_id = 'a.ll'").count() == 11
     (tmp_path / "x.ll").write_text(MODULE)
     assert ir.parse(ir.lines(spark, str(tmp_path / "x.ll")))["calls"].count() == 11

@@ -30,6 +30,13 @@ def _name(found: Column) -> Column:
     return F.regexp_replace(found, '^"|"$', "")
 
 
+def kind_of(opcode: Column) -> Column:
+    kind = F.when(opcode.isin("call", "invoke"), "Call")
+    for name, ops in KINDS:
+        kind = kind.when(opcode.isin(*ops.split("|")), name)
+    return kind.otherwise("Other")
+
+
 def parse(rows: DataFrame) -> dict[str, DataFrame]:
     """modules, functions, instructions, calls and debug locations of textual modules.
 
@@ -49,11 +56,8 @@ def parse(rows: DataFrame) -> dict[str, DataFrame]:
     )
     body = rows.filter(F.col("func").isNotNull() & ~signature & (F.col("line") != "") & ~F.rlike("line", F.lit(r'^[-\w.$"]+:$')))
     op = F.regexp_extract("line", r"^(?:%[-\w.$]+\s*=\s*)?(?:tail |musttail |notail )?(\w+)", 1)
-    kind = F.when(op.isin("call", "invoke"), "Call")
-    for name, ops in KINDS:
-        kind = kind.when(op.isin(*ops.split("|")), name)
     instructions = body.select(
-        "module_id", "func", F.col("idx").alias("inst_idx"), kind.otherwise("Other").alias("kind"), op.alias("opcode"), F.nullif(F.regexp_extract("line", r"^(%[-\w.$]+)\s*=", 1), F.lit("")).alias("dest"),
+        "module_id", "func", F.col("idx").alias("inst_idx"), kind_of(op).alias("kind"), op.alias("opcode"), F.nullif(F.regexp_extract("line", r"^(%[-\w.$]+)\s*=", 1), F.lit("")).alias("dest"),
         F.regexp_extract_all(F.regexp_replace("line", r"^%[-\w.$]+\s*=", ""), F.lit(r"(%[-\w.$]+)"), F.lit(1)).alias("operands"), F.nullif(F.regexp_extract("line", r"icmp\s+(\w+)", 1), F.lit("")).alias("icmp_pred"), F.col("line").alias("raw_text"),
     )
     declared = functions.filter("is_declaration").select("module_id", F.col("name").alias("_n")).distinct()
@@ -81,12 +85,18 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     inst = blocks.select("module_id", "func", "block_no", F.posexplode("b.instructions").alias("i", "x")).withColumn("inst_idx", F.row_number().over(Window.partitionBy("module_id", "func").orderBy("block_no", "i")))
     decls = rows.select("module_id", F.explode_outer("declarations").alias("d")).select("module_id", F.col("d.name").alias("name"), F.lit(True).alias("is_declaration"), F.col("d.params").alias("params"), F.col("d.return_type").alias("return_type")).filter("name is not null")
     functions = f.select("module_id", F.col("f.name").alias("name"), F.lit(False).alias("is_declaration"), F.col("f.params").alias("params"), F.col("f.return_type").alias("return_type")).unionByName(decls)
-    calls = inst.filter("x.callee is not null").select("module_id", F.col("inst_idx").alias("call_idx"), F.col("func").alias("caller"), F.col("x.callee").alias("callee"), F.col("x.dest").alias("result"), F.col("x.operands").alias("args"))
+    declared = decls.select("module_id", F.col("name").alias("callee"), F.lit(True).alias("_d")).distinct()
+    calls = inst.filter("x.callee is not null").select("module_id", F.col("inst_idx").alias("call_idx"), F.col("func").alias("caller"), F.col("x.callee").alias("callee"), F.col("x.dest").alias("result"), F.col("x.operands").alias("args"), F.lit(None).cast("string").alias("dbg"))
+    calls = calls.join(declared, ["module_id", "callee"], "left").withColumn("is_external", F.col("_d").isNotNull()).drop("_d")
+    opcode, none = F.col("x.opcode"), F.lit(None).cast("string")
+    size = rows.select("module_id", "target_triple").distinct()
     return {
+        "modules": size.select("module_id", "target_triple", none.alias("data_layout"), F.lit(8).alias("pointer_size"), F.lit(True).alias("little_endian")),
         "functions": functions,
-        "instructions": inst.select("module_id", "func", "inst_idx", F.col("x.opcode").alias("opcode"), F.col("x.dest").alias("dest"), F.col("x.operands").alias("operands"), F.col("x.raw").alias("raw_text")),
-        "calls": calls,
+        "instructions": inst.select("module_id", "func", "inst_idx", kind_of(opcode).alias("kind"), opcode.alias("opcode"), F.col("x.dest").alias("dest"), F.coalesce("x.operands", F.array().cast("array<string>")).alias("operands"), F.nullif(F.regexp_extract(F.coalesce("x.raw", F.lit("")), r"icmp\s+(\w+)", 1), F.lit("")).alias("icmp_pred"), F.col("x.raw").alias("raw_text")),
+        "calls": calls.select("module_id", "call_idx", "caller", "callee", "result", "args", "dbg", "is_external"),
         "cfg_edges": blocks.select("module_id", "func", F.col("b.label").alias("block"), F.explode("b.successors").alias("successor")),
+        "locations": calls.select("module_id", "dbg", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column")).filter("dbg is not null"),
     }
 
 
@@ -100,6 +110,12 @@ def config(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     return {"families": spark.createDataFrame(families, "symbol string, family string, effect string"), "boundaries": spark.createDataFrame(bounds, "from string, to string, function string, pattern string")}
 
 
+def load(spark: SparkSession, path: str, names: list[str], modules: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables that ``save`` wrote, of all modules or of some: other modules' folders are not even listed as input."""
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    return found if modules is None else {name: df.filter(F.col("module_id").isin(*modules)) for name, df in found.items()}
+
+
 def save(tables: dict[str, DataFrame], path: str) -> None:
     """Parsed tables as Parquet, partitioned by module, for runs that read only changed modules."""
     for name, df in tables.items():

@@ -23,9 +23,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
+    """The folder every executor shares: ``spark.checkpoint.dir``. Where it is unset, a local one in local mode (tests), which is
+    the executor too; a cluster without it is an error, as no other folder is known to be shared."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark, "_tidewater_scratch", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark._tidewater_scratch = found
     return found.rstrip("/")
