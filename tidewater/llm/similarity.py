@@ -4,7 +4,8 @@
 2. All sets are ordered alike: rare shingles first, then by hash. Linked sets share one of their first shingles (prefix filter),
    so sets meet by those. Which shingles are frequent is counted over all texts; a wrong count costs time, never a link.
 3. Of sets that share a prefix shingle, few are paired with each other; of many, each is first paired with one of its size.
-   Pairs whose parity bitmaps differ in more bits than linked sets can differ in shingles are no links.
+   Pairs whose parity bitmaps differ in more bits than linked sets can differ in shingles are no links: short bitmaps say so where
+   sets meet, long ones for the pairs left. A set of a large group without a near one by the short bitmaps leaves that group.
 4. What is left is searched: one set against the inverted lists of its partners. Short lists are merged and counted, the longest
    are only probed by binary search for what the short ones left (DivideSkip). A merge here is one sort or count of the
    concatenated lists, as numpy does that faster than a heap.
@@ -31,6 +32,10 @@ BLOCK_SHINGLES = 500_000
 FEW = 40
 #: Rows of a cell in which sets of a large group are compared by their bitmaps: undecided ones, and all.
 OPEN_ROWS, ALL_ROWS = 512, 8192
+#: Bits of the short bitmap that goes with a set to each of its prefix shingles; a multiple of 64 and a power of two.
+SKETCH = 256
+#: Groups of up to so many sets are searched for sets without a near one; those of larger groups all stay.
+LONELY = 4096
 #: A shingle counts as frequent from so many texts on; so many frequent ones are kept (they only order the sets), and the group
 #: of one of over BUSY texts never meets in one task.
 FREQUENT, MOST_FREQUENT, BUSY = 32, 200_000, 4096
@@ -159,10 +164,10 @@ class Order:
         return s[order], int((level[order] == 64).sum())
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray, slots: int = 0) -> bytes:
     """A bit for each of a power of two of slots, about four a shingle: whether an odd number of shingles falls into it. Two sets
     differ in as many shingles, at least, as their bitmaps differ in bits, and in hardly more."""
-    slots = 4 << max(4, int(len(s) - 1).bit_length())
+    slots = slots or 4 << max(4, int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -236,11 +241,31 @@ def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold,
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64), columns=["a", "b", "nb"])
 
 
-def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, threshold: Threshold, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+def near_rows(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which pairs of rows the short bitmaps don't tell apart."""
+    out = np.empty(len(left), dtype=bool)
+    for at in range(0, len(left), 100_000):
+        i, j = left[at : at + 100_000], right[at : at + 100_000]
+        out[at : at + 100_000] = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= threshold.apart(n[i], n[j])
+    return out
+
+
+def accompanied(rows: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which of some rows of a group have another row of it that sizes and short bitmaps don't tell apart from them."""
+    out, step = np.zeros(len(rows), dtype=bool), max(1, 200_000 // len(n))
+    for at in range(0, len(rows), step):
+        r = rows[at : at + step]
+        i, j = np.nonzero((r[:, None] != np.arange(len(n))) & (threshold.a * np.maximum(n, n[r, None]) <= threshold.b * np.minimum(n, n[r, None])))
+        out[at + i[near_rows(r[i], j, n, sketch, threshold)]] = True
+    return out
+
+
+def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, sketch: np.ndarray, threshold: Threshold, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
     """What sets with a common prefix shingle lead to: pairs (a, b, size of b), and the rows of large groups.
 
     Rows are sorted by key, then by size and id, and hold whole groups; ``head`` says that the shingle is among those that
-    the set shares with a linked set that is no smaller. In a large group a set is paired with the smallest one of its size class."""
+    the set shares with a linked set that is no smaller. In a large group a set is paired with the smallest one of its size class.
+    Pairs, and rows of large groups, that the short bitmaps show to be no links, or to have none there, are left out."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
     large = np.repeat(size > few, size)
@@ -249,13 +274,24 @@ def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, t
     left = np.repeat(np.arange(len(key)), rest)
     right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest)
     fit = (threshold.a * n[right] <= threshold.b * n[left]) & (doc[left] != doc[right])
+    left, right = left[fit], right[fit]
+    fit = near_rows(left, right, n, sketch, threshold)
     pairs = [np.column_stack([left[fit], right[fit]])]
     for k in np.flatnonzero(size > few):
-        at, stop = edge[k], edge[k + 1]
+        start, stop = edge[k], edge[k + 1]
+        at, met = start, np.zeros(size[k], dtype=bool)
         while at < stop:
             end = at + int(np.searchsorted(n[at:stop], threshold.b * n[at] // threshold.a, side="right"))
-            pairs.append(np.column_stack([np.full(end - at - 1, at), np.arange(at + 1, end)]))
+            others = np.arange(at + 1, end)
+            others = others[near_rows(np.full(len(others), at), others, n, sketch, threshold)]
+            pairs.append(np.column_stack([np.full(len(others), at), others]))
+            met[others - start] = True
+            met[at - start] = len(others) > 0
             at = end
+        if size[k] <= LONELY:
+            alone = np.flatnonzero(~met)
+            alone = alone[~accompanied(alone, n[start:stop], sketch[start:stop], threshold)]
+            large[start + alone] = False
     x, y = np.concatenate(pairs).T
     low = doc[x] < doc[y]
     found = np.column_stack([np.where(low, doc[x], doc[y]), np.where(low, doc[y], doc[x]), np.where(low, n[y], n[x])])
@@ -427,15 +463,15 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
                 for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                     s = shingles(text)
                     if not len(s):
-                        rows.append((doc_id, 0, 0, 0, 0, 0, b"", b""))
+                        rows.append((doc_id, 0, 0, 0, 0, 0, b"", b"", b""))
                         continue
                     both = np.array([mixed(s).sum(dtype=_U), mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)])
                     probe, head = threshold.prefix(len(s))
                     keys, often = common.first(s, probe)
-                    rows.append((doc_id, len(s), *map(int, _signed(both)), head, often, keys.tobytes(), parity(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "head", "busy", "keys", "bitmap"]).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, len(s), *map(int, _signed(both)), head, often, keys.tobytes(), parity(s, SKETCH), parity(s)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "head", "busy", "keys", "sketch", "bitmap"]).astype({"doc_id": "Int64"})
 
-    made = "doc_id long, n long, h1 long, h2 long, head int, busy int, keys binary, bitmap binary"
+    made = "doc_id long, n long, h1 long, h2 long, head int, busy int, keys binary, sketch binary, bitmap binary"
     signed = materialize(named.mapInPandas(signatures, made))
     same = ["n", "h1", "h2"]
     rep = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
@@ -444,6 +480,8 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     rest = materialize(copies.filter("n > 0 and doc_id != rep").select("doc_id", *same).distinct())
     own = signed.filter("n > 0").join(bounded_broadcast(rest), ["doc_id", *same], "left_anti")
 
+    words_of_sketch = [f"s{i}" for i in range(SKETCH // 64)]
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
@@ -451,16 +489,20 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
                 length = some["keys"].str.len().to_numpy() // 8
                 place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 whole = lambda c: np.repeat(some[c].to_numpy("int64"), length)  # noqa: E731, B023
-                yield pd.DataFrame({"key": np.frombuffer(b"".join(some["keys"]), dtype=np.int64), "n": whole("n"), "doc_id": whole("doc_id"), "head": place < whole("head"), "busy": place >= np.repeat(length, length) - whole("busy")})
+                sketch = np.frombuffer(b"".join(some["sketch"]), dtype=np.int64).reshape(len(some), -1)
+                short = {name: np.repeat(sketch[:, i], length) for i, name in enumerate(words_of_sketch)}
+                yield pd.DataFrame({"key": np.frombuffer(b"".join(some["keys"]), dtype=np.int64), "n": whole("n"), "doc_id": whole("doc_id"), "head": place < whole("head"), "busy": place >= np.repeat(length, length) - whole("busy"), **short})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_runs(batches, "key"):
             key, n, doc = (pdf[c].to_numpy() for c in ("key", "n", "doc_id"))
-            pairs, large = meeting(key, n, doc, pdf["head"].to_numpy(), threshold, few)
+            sketch = np.ascontiguousarray(pdf[words_of_sketch].to_numpy("int64")).view(_U)
+            pairs, large = meeting(key, n, doc, pdf["head"].to_numpy(), sketch, threshold, few)
             yield pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "pair": True})
             yield pd.DataFrame({"key": key[large], "a": doc[large], "b": np.zeros(len(large), dtype=np.int64), "n": n[large], "pair": False})
 
-    rows = own.select("doc_id", "n", "head", "busy", "keys").mapInPandas(emit, "key long, n long, doc_id long, head boolean, busy boolean")
+    emitted = "key long, n long, doc_id long, head boolean, busy boolean, " + ", ".join(f"{c} long" for c in words_of_sketch)
+    rows = own.select("doc_id", "n", "head", "busy", "keys", "sketch").mapInPandas(emit, emitted)
     dealt = rows.filter("not busy").repartition("key").sortWithinPartitions("key", "n", "doc_id")
     met = materialize(dealt.mapInPandas(meet, "key long, a long, b long, n long, pair boolean"))
     large = met.filter("not pair").select("key", F.col("a").alias("doc_id"), "n")
