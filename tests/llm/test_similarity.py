@@ -138,3 +138,21 @@ def test_empty_table(spark):
 def test_shingler_counts_whole_short_texts():
     s = Shingler(3)
     assert len(s("a b")) == 1 and len(s("a b c")) == 1 and len(s("a b c d")) == 2 and not len(s("")) and (s("A b") == s("a B")).all() and s("a")[0] != s("a a")[0]
+
+
+def test_short_bitmaps_lose_no_link_where_sets_meet():
+    import numpy as np
+
+    from tidewater.llm.similarity import SKETCH, Threshold, meeting, mixed, parity
+
+    t, rng = Threshold(9, 10), np.random.default_rng(5)
+    base = [mixed(rng.integers(1, 1 << 60, 200).astype(np.uint64)) for _ in range(30)]
+    sets = sorted([np.unique(np.concatenate([b[k:], mixed(rng.integers(1, 1 << 60, k).astype(np.uint64))])) for b in base for k in (0, 4, 9)], key=len)
+    n, doc = np.array([len(s) for s in sets]), np.arange(len(sets))
+    sketch = np.frombuffer(b"".join(parity(s, SKETCH) for s in sets), np.uint64).reshape(len(sets), -1)
+    linked = {(i, j) for i in doc for j in doc[i + 1 :] if t.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j])}
+    pairs, large = meeting(np.zeros(len(sets), int), n, doc, np.ones(len(sets), bool), sketch, t, few=1000)
+    assert linked <= set(map(tuple, pairs[:, :2])) and len(pairs) < 2 * len(linked) and not len(large)
+    some = np.arange(0, len(sets), 2)
+    _, large = meeting(np.zeros(len(some), int), n[some], some, np.ones(len(some), bool), sketch[some], t, few=5)
+    assert {x for p in linked if set(p) <= set(some) for x in p} <= set(some[large])
