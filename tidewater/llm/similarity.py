@@ -165,9 +165,9 @@ class Order:
 
 
 def parity(s: np.ndarray, slots: int = 0) -> bytes:
-    """A bit for each of a power of two of slots, about four a shingle: whether an odd number of shingles falls into it. Two sets
-    differ in as many shingles, at least, as their bitmaps differ in bits, and in hardly more."""
-    slots = slots or 4 << max(4, int(len(s) - 1).bit_length())
+    """A bit for each of a power of two of slots, one to two a shingle: whether an odd number of shingles falls into it. Two sets
+    differ in as many shingles, at least, as their bitmaps differ in bits; sets that are alike differ in hardly more."""
+    slots = slots or 1 << max(6, int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
