@@ -605,20 +605,22 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         spread = split_join(placed, groups, ["key"]).join(bitmaps.select("doc_id", "bitmap", "n"), ["doc_id", "n"])
         mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
         spread = spread.withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
+        # the open sets of a group of one cell are in it once, for both sides
+        spread = spread.withColumn("alone", (F.col("i") == 1) & (F.col("j") == 1))
         open_ = spread.filter("component != main").withColumn("i", F.pmod(mine, F.col("i"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("j") - 1)))
-        every = spread.withColumn("j", F.pmod(mine, F.col("j"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
-        columns = ["key", "i", "j", "doc_id", "n", "component", "bitmap"]
+        every = spread.filter("not alone or component = main").withColumn("j", F.pmod(mine, F.col("j"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
+        columns = ["key", "i", "j", "doc_id", "n", "component", "bitmap", "alone"]
         rows = open_.withColumn("open", F.lit(True)).select(*columns, "open").unionByName(every.withColumn("open", F.lit(False)).select(*columns, "open"))
         cell = F.xxhash64("key", "i", "j").alias("cell")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in _whole_runs(batches, "cell", 1):
                 edge = np.flatnonzero(np.diff(pdf.cell.to_numpy(), prepend=pdf.cell.iloc[0] - 1, append=pdf.cell.iloc[-1] + 1))
-                is_open = pdf.open.to_numpy()
+                is_open, alone = pdf.open.to_numpy(), pdf.alone.to_numpy()
                 for at, stop in zip(edge[:-1], edge[1:], strict=True):
                     k = at + int(is_open[at:stop].sum())
                     if at < k < stop:
-                        yield close_pairs(pdf[at:k], pdf[k:stop], threshold, forest)
+                        yield close_pairs(pdf[at:k], pdf[at if alone[at:stop].any() else k : stop], threshold, forest)
 
         return rows.select(cell, *columns[3:], "open").repartition("cell").sortWithinPartitions("cell", F.desc("open"), "doc_id").mapInPandas(compare, "a long, b long, nb long")
 
