@@ -156,3 +156,52 @@ def test_short_bitmaps_lose_no_link_where_sets_meet():
     some = np.arange(0, len(sets), 2)
     _, large = meeting(np.zeros(len(some), int), n[some], some, np.ones(len(some), bool), sketch[some], t, few=5)
     assert {x for p in linked if set(p) <= set(some) for x in p} <= set(some[large])
+
+
+def late_chain(seed, first, around=44, words=300):
+    """A group above the default size whose last text hangs on one other alone: a base without its first word, ``around`` texts with
+    three words changed, the base without its last word, and that with five words changed."""
+    rng = np.random.default_rng(seed)
+    fresh = iter(range(10**6))
+    base = [f"s{seed}b{i}" for i in range(words)]
+
+    def changed(text, k):
+        text = list(text)
+        for at in np.sort(rng.choice(len(text) // 8, k, replace=False)) * 8 + int(rng.integers(0, 3)):
+            text[at] = f"s{seed}n{next(fresh)}"
+        return text
+
+    texts = [base[1:], *(changed(base, 3) for _ in range(around)), base[:-1]]
+    texts.append(changed(texts[-1], 5))
+    return [(first + i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def misled(data):
+    """Whether the last text is linked with the one before alone, and looks by its bitmap as near to the first, which is refuted."""
+    sets = [Shingler(3)(data[i][1]) for i in (0, -2, -1)]
+    first, before, last = (parity(s) for s in sets)
+    linked = lambda x, y: Threshold().linked(len(np.intersect1d(x, y)), len(x), len(y))
+    return linked(sets[1], sets[2]) and not linked(sets[0], sets[2]) and bits_apart(first, last) <= bits_apart(before, last)
+
+
+def test_a_refuted_pair_may_be_a_groups_only_edge(spark):
+    data = next(d for seed in range(400) for d in [late_chain(seed, 0)] if misled(d))
+    got = {r[0]: r[2] for r in similarity_join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[45] == got[46] == 0
+
+
+def test_no_link_is_lost_over_many_seeds(spark):
+    groups = [late_chain(seed, 1000 * seed, around=39 + seed % 12) for seed in range(500)]
+    frame = spark.createDataFrame([r for g in groups for r in g], "doc_id long, text string").repartition(8)
+    sets = [[(i, shingles(t, 3)) for i, t in g] for g in groups]
+    want = []
+    for group in sets:
+        root = {i: i for i, _ in group}
+        for n, (i, x) in enumerate(group):
+            for j, y in group[:n]:
+                both = len(x & y)
+                if 10 * both >= 9 * (len(x) + len(y) - both):
+                    low, high = sorted((root[i], root[j]))
+                    root = {k: low if v == high else v for k, v in root.items()}
+        want += [(i, len(x), root[i]) for i, x in group]
+    assert sorted(map(tuple, similarity_join(frame).collect())) == sorted(want)

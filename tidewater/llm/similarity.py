@@ -633,8 +633,9 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         pairs = alike if cells is None else alike.unionByName(cells).distinct()
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(with_component(with_component(pairs, "a", "_ca"), "b", "_cb").filter("_ca != _cb").select("a", "b", "nb"))
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # a pair refuted before may be all that would connect a group: then the next round looks at every pair
+            release(pairs)
+            continue
         late = verified(pairs)
         known = known.unionByName(pairs)
         if not late.isEmpty():
