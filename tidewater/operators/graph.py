@@ -28,6 +28,20 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int, src: str = "src",
     return known
 
 
+def closure(edges: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, root): facts passed along ``edges`` (keys, src, dst) within each key until none is new, by semi-naive rounds: a
+    round joins the newest facts only. Cycles end as their facts are known already. A round is written to the shared folder."""
+    e = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
+    known = new = materialize(facts.select(*keys, "node", "root").distinct())
+    e = materialize(e.join(new.select(*keys).distinct(), keys, "left_semi"))
+    while True:
+        step = new.join(e, [*keys, "node"]).select(*keys, F.col("_to").alias("node"), "root").distinct()
+        new = materialize(step.join(known, [*keys, "node", "root"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node of each connected component, by minimum labels with pointer jumping."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))

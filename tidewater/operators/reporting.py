@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.dedup import LEAK_RANK
+
 # Issue kinds at a language boundary, of one function's memory, of resource contracts, and those that only inform.
 FFI_BOUNDARY = ["CrossLanguageFree", "OwnershipViolation", "FfiTypeMismatch", "AbiMismatch", "UncheckedReturn", "FfiUnsafeCall", "CallbackEscape", "LengthTruncation"]
 LOCAL_MEMORY = ["DoubleFree", "UseAfterFree", "InvalidFree", "MemoryLeak", "BufferOverflow", "NullDereference", "IntegerOverflow"]
 RESOURCE_CONTRACT = ["CrossFamilyFree", "ConditionalLeak", "DefiniteLeak", "BorrowEscape", "CallbackEscapeIssue", "NeedsModel", "WriteToImmutable", "DoubleReclaim", "OwnershipEscapeLeak"]
 DIAGNOSTIC_ONLY = ["WriteToImmutable", "UncheckedReturn"]
-# Exit states without a leak, and the strength of leak kinds.
+# Exit states without a leak.
 SAFE_EXITS = ["Released", "Null", "Escaped"]
-LEAK_PRIORITY = {"DefiniteLeak": 3, "OwnershipEscapeLeak": 2, "ConditionalLeak": 1}
 
 
 def kind_flags(kind: Column) -> dict[str, Column]:
@@ -75,7 +76,7 @@ def without_overlaps(candidates: DataFrame, is_runtime: Column) -> DataFrame:
     """Leak candidates without those of a runtime allocator whose caller is the function of a user candidate of the same family
     and at least the same strength. Columns: idx, kind, alloc_function, alloc_caller, family."""
     strength = F.lit(0)
-    for kind, value in LEAK_PRIORITY.items():
+    for kind, value in LEAK_RANK.items():
         strength = F.when(F.col("kind") == kind, value).otherwise(strength)
     rows = candidates.withColumn("_p", strength).withColumn("_runtime", is_runtime)
     user = rows.filter("not _runtime").groupBy(F.col("alloc_function").alias("_f"), F.col("family").alias("_family")).agg(F.max("_p").alias("_best"))
@@ -84,14 +85,25 @@ def without_overlaps(candidates: DataFrame, is_runtime: Column) -> DataFrame:
 
 
 def with_facts(candidates: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each candidate's facts by the first of its key columns that has any: an unpivot and one equi join, no OR."""
-    sides = [candidates.select("idx", F.lit(i).alias("_rank"), F.col(k).alias("symbol")) for i, k in enumerate(keys)]
-    every = sides[0]
-    for side in sides[1:]:
-        every = every.unionByName(side)
-    met = every.join(facts.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_facts")), "symbol")
-    best = met.groupBy("idx").agg(F.min(F.struct("_rank", "symbol", "n_facts")).alias("m"))
-    return candidates.select("idx").join(best, "idx", "left").select("idx", F.col("m.symbol").alias("symbol"), F.coalesce("m.n_facts", F.lit(0)).alias("n_facts"))
+    """How many facts each candidate gets: those of every one of its key columns, in callers and callees alike, once for each column
+    that names them; empty and null keys name none. An unpivot and one equi join with facts that are counted by symbol first."""
+    symbols = F.explode(F.array(*[F.col(k) for k in keys])).alias("symbol")
+    named = candidates.select("idx", symbols).filter(F.col("symbol").isNotNull() & (F.col("symbol").cast("string") != ""))
+    met = named.join(facts.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")), "symbol").groupBy("idx").agg(F.sum("_n").alias("n_facts"))
+    return candidates.select("idx").join(met, "idx", "left").select("idx", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+
+
+def without_declarations(candidates: DataFrame, declared: DataFrame, defined: DataFrame) -> DataFrame:
+    """Candidates (idx, kind, alloc_function, release_function, alloc_caller, release_caller) without double releases that only touch
+    declarations: one of their functions is declared and not defined, and no known caller is defined. Other kinds all stay.
+
+    The four names of the double releases are unpivoted, so the symbols (``declared`` and ``defined`` have a ``symbol``) are joined once.
+    """
+    symbols = declared.select("symbol", F.lit(0).alias("_d")).unionByName(defined.select("symbol", F.lit(1).alias("_d"))).groupBy("symbol").agg(F.max("_d").alias("_defined"))
+    names = F.explode(F.array(*[F.struct(F.lit(c.endswith("function")).alias("own"), F.col(c).alias("symbol")) for c in ("alloc_function", "release_function", "alloc_caller", "release_caller")])).alias("n")
+    of = candidates.filter("kind = 'DoubleRelease'").select("idx", names).select("idx", "n.*").join(symbols, "symbol")
+    only = of.groupBy("idx").agg(F.bool_or(F.col("own") & (F.col("_defined") == 0)).alias("_a"), F.bool_or(~F.col("own") & (F.col("_defined") == 1)).alias("_b")).filter("_a and not _b").select("idx")
+    return candidates.join(only, "idx", "left_anti")
 
 
 def merged_edges(mine: DataFrame, other: DataFrame, offset: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import reporting as R
+from tidewater.operators.dedup import LEAK_RANK
 from tidewater.plans.tables import FACTS_SQL, facts, read
 from tidewater.plans.verdicts import CANDIDATES_SQL, candidates, scored
 
@@ -169,35 +170,40 @@ ORACLE["j2_signature"] = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHE
 
 
 def j12_with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's facts: by its customer if it has events, else by its clerk's number."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("caller"), (F.col("o_orderkey") % 1000).alias("callee"))
-    return R.with_facts(orders, facts(spark, sf_dir).filter("kind = 'error'").select(F.col("caller").alias("symbol")), ["caller", "callee"])
+    """An order's facts: those of its customer, of its clerk's number, of its own number, and of its date's day if it is shipped at once."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_custkey").alias("alloc_caller"), (F.col("o_orderkey") % 1000).alias("release_caller"), (F.col("o_orderkey") % 77).alias("alloc_function"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 500).alias("release_function"))
+    return R.with_facts(orders, facts(spark, sf_dir).filter("kind = 'error'").select(F.col("caller").alias("symbol")), ["alloc_caller", "release_caller", "alloc_function", "release_function"])
 
 
 QUERIES["j12_with_facts"] = j12_with_facts
-ORACLE["j12_with_facts"] = f"""WITH {FACTS_SQL}, f AS (SELECT caller AS symbol, count(*) AS n FROM facts WHERE kind = 'error' GROUP BY caller)
-SELECT o_orderkey AS idx, coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.n, b.n, 0) AS n_facts FROM orders LEFT JOIN f a ON o_custkey = a.symbol LEFT JOIN f b ON o_orderkey % 1000 = b.symbol"""
+ORACLE["j12_with_facts"] = f"""WITH {FACTS_SQL}, f AS (SELECT caller AS symbol, count(*) AS n FROM facts WHERE kind = 'error' GROUP BY caller),
+k AS (SELECT o_orderkey AS idx, o_custkey AS s FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 1000 FROM orders UNION ALL SELECT o_orderkey, o_orderkey % 77 FROM orders UNION ALL SELECT o_orderkey, o_custkey % 500 FROM orders WHERE o_orderstatus = 'F')
+SELECT idx, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_facts FROM k LEFT JOIN f ON s = symbol GROUP BY idx"""
 
 
 def j14_declaration_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates whose resource has some line that is no mere declaration (returned flag N)."""
-    rows = candidates(spark, sf_dir)
-    real = rows.filter("l_returnflag = 'N'").select("resource").distinct()
-    return rows.join(rows.select("resource").distinct().join(real, "resource", "left_anti"), "resource", "left_anti").select("seq", "kind")
+    """Candidates without double releases (pending orders) that only touch declarations: parts are functions, declared if their key
+    is no multiple of 3, defined if it is even; callers are suppliers' numbers among them."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"))
+    lines = read(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("idx"), F.when(F.col("l_linestatus") == "O", "DoubleRelease").otherwise("DefiniteLeak").alias("kind"), F.col("l_partkey").alias("alloc_function"), F.when(F.col("l_returnflag") != "A", F.col("l_partkey") % 97 + 1).alias("release_function"), F.when(F.col("l_linenumber") > 1, F.col("l_suppkey")).alias("alloc_caller"), F.when(F.col("l_linenumber") > 2, F.col("l_suppkey") % 7 + 1).alias("release_caller"))
+    return R.without_declarations(lines, part.filter("symbol % 3 != 0"), part.filter("symbol % 2 = 0")).select("idx", "kind")
 
 
 QUERIES["j14_declaration_only"] = j14_declaration_only
-ORACLE["j14_declaration_only"] = f"WITH {CANDIDATES_SQL} SELECT seq, kind FROM cand WHERE resource IN (SELECT resource FROM cand WHERE l_returnflag = 'N')"
+ORACLE["j14_declaration_only"] = """WITH dec AS (SELECT p_partkey AS s FROM part WHERE p_partkey % 3 <> 0), def AS (SELECT p_partkey AS s FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS idx, CASE WHEN l_linestatus = 'O' THEN 'DoubleRelease' ELSE 'DefiniteLeak' END AS kind, l_partkey AS a, CASE WHEN l_returnflag <> 'A' THEN l_partkey % 97 + 1 END AS r, CASE WHEN l_linenumber > 1 THEN l_suppkey END AS ac, CASE WHEN l_linenumber > 2 THEN l_suppkey % 7 + 1 END AS rc FROM lineitem)
+SELECT idx, kind FROM c WHERE NOT (kind = 'DoubleRelease' AND ((a IN (SELECT s FROM dec) AND a NOT IN (SELECT s FROM def)) OR (r IS NOT NULL AND r IN (SELECT s FROM dec) AND r NOT IN (SELECT s FROM def)))
+  AND (ac IS NULL OR ac NOT IN (SELECT s FROM def)) AND (rc IS NULL OR rc NOT IN (SELECT s FROM def)))"""
 
 
 def j15_runtime_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = candidates(spark, sf_dir).filter(F.col("kind").isin(*R.LEAK_PRIORITY))
+    leaks = candidates(spark, sf_dir).filter(F.col("kind").isin(*LEAK_RANK))
     rows = leaks.select(F.col("seq").alias("idx"), "kind", F.col("resource").alias("alloc_function"), (F.floor(F.col("idx") / 10) % 5000).alias("alloc_caller"), F.col("l_returnflag").alias("family"), "l_linestatus")
     return R.without_overlaps(rows, F.col("l_linestatus") == "F").select("idx", "kind")
 
 
 QUERIES["j15_runtime_overlap"] = j15_runtime_overlap
-ORACLE["j15_runtime_overlap"] = f"""WITH {CANDIDATES_SQL}, l AS (SELECT seq AS idx, kind, resource AS f, (idx // 10) % 5000 AS caller, l_returnflag AS family, l_linestatus = 'F' AS runtime, CASE kind WHEN 'DefiniteLeak' THEN 3 WHEN 'OwnershipEscapeLeak' THEN 2 ELSE 1 END AS p FROM cand WHERE kind IN ('DefiniteLeak', 'OwnershipEscapeLeak', 'ConditionalLeak'))
+ORACLE["j15_runtime_overlap"] = f"""WITH {CANDIDATES_SQL}, l AS (SELECT seq AS idx, kind, resource AS f, (idx // 10) % 5000 AS caller, l_returnflag AS family, l_linestatus = 'F' AS runtime, CASE kind WHEN 'DefiniteLeak' THEN 3 WHEN 'ConditionalLeak' THEN 2 ELSE 1 END AS p FROM cand WHERE kind IN ('DefiniteLeak', 'OwnershipEscapeLeak', 'ConditionalLeak'))
 SELECT idx, kind FROM l a WHERE NOT (runtime AND EXISTS (SELECT 1 FROM l b WHERE NOT b.runtime AND b.f = a.caller AND b.family = a.family AND a.p <= b.p))"""
 
 

@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.spark import carried
+
 #: Instruction kinds by opcode, in rule order. The IR's own opcodes.
 KINDS = [
-    ("Alloca", "alloca"), ("Load", "load"), ("Store", "store"), ("GetElementPtr", "getelementptr"), ("ICmp", "icmp"), ("AtomicRmw", "atomicrmw"), ("CmpXchg", "cmpxchg"), ("Br", "br|switch|indirectbr"), ("Ret", "ret"), ("Phi", "phi"), ("Select", "select"),
+    ("Alloca", "alloca"), ("Load", "load"), ("Store", "store"), ("GetElementPtr", "getelementptr"), ("ICmp", "icmp"), ("FCmp", "fcmp"), ("AtomicRmw", "atomicrmw"), ("CmpXchg", "cmpxchg"), ("Br", "br|switch|indirectbr"), ("Ret", "ret"), ("Phi", "phi"), ("Select", "select"),
     ("Conversion", "trunc|zext|sext|fptrunc|fpext|fptoui|fptosi|uitofp|sitofp|ptrtoint|inttoptr|bitcast|addrspacecast"), ("BinaryOp", "add|fadd|sub|fsub|mul|fmul|udiv|sdiv|fdiv|urem|srem|frem|shl|lshr|ashr|and|or|xor"),
 ]
-_CALL = r"^(?:(%[-\w.$]+)\s*=\s*)?(?:tail |musttail |notail )?(?:call|invoke)\s.*?@(\"[^\"]+\"|[-\w.$]+)\((.*)\)"
+#: A name with its sigil: a register, or a global, quoted or not.
+_NAME = r'"[^"]*"|[-\w.$]+'
+#: Calls: the register made, then a named or an indirect callee, then the arguments up to the call's own closing bracket.
+_MADE = rf"^(?:(%(?:{_NAME}))\s*=\s*)?(?:tail |musttail |notail )?(?:call|invoke)\s"
+_CALLED = rf"{_MADE}(?:[^@\"(]|\([^()]*\)\**\s)*?([@%](?:{_NAME}))\((.*)$"
+_LABEL = rf"^({_NAME}):(?:\s.*)?$"
+#: What stands in a line beside its values: types in brackets and braces, named types, labels, alignments, address spaces, metadata.
+_NO_VALUE = r"<?\{[^{}]*\}>?|\[\d+ x [^\[\]]*\]|<\d+ x [^<>]*>|%(?:struct|class|union|enum)\.[-\w.$:]+|label %(?:\"[^\"]*\"|[-\w.$]+)|,?\s*align \d+|addrspace\(\d+\)|,?\s*![-\w.$]+(?:\s*![-\w.$]+|\([^()]*\))*|\b(?:call|invoke|to|unwind)\b"
+_VALUE = rf"(?<![\w.$%@\"!#-])([%@](?:{_NAME})|(?:null|undef|poison|zeroinitializer|true|false|-?\d+(?:\.\d+)?(?:e[+-]?\d+)?|0x[0-9A-Fa-f]+)(?![\w.$\"]))"
+_COMMENT = r'^((?:[^";]++|"[^"]*+"?)*+);.*$'
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,55 +34,86 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def from_text(modules: DataFrame) -> DataFrame:
     """The same from rows (module_id, value)."""
-    return modules.select("module_id", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).select("module_id", "line_no", F.trim(F.regexp_replace("raw", r"\s*;.*$", "")).alias("line"), "raw")
+    return modules.select("module_id", F.posexplode(F.split("value", "\n")).alias("line_no", "raw")).select("module_id", "line_no", without_comment("raw").alias("line"), "raw")
+
+
+def without_comment(raw: str) -> Column:
+    """A line without its comment, which begins at the first semicolon outside quotes."""
+    return F.trim(F.when(F.contains(F.col(raw), F.lit(";")), F.regexp_replace(raw, _COMMENT, "$1")).otherwise(F.col(raw)))
 
 
 def _name(found: Column) -> Column:
-    return F.regexp_replace(found, '^"|"$', "")
+    return F.regexp_replace(found, '^[@%]?"?|"$', "")
 
 
-def kind_of(opcode: Column) -> Column:
-    kind = F.when(opcode.isin("call", "invoke"), "Call")
+def _arguments(rest: Column) -> Column:
+    """The arguments of a call, from what follows its opening bracket: up to the bracket that closes it, split at outer commas."""
+    inside = F.regexp_replace(rest, r'("[^"]*"|\((?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*\))*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>)', "\u0002$1\u0002")
+    simple = F.split(F.substring_index(rest, ")", 1), ",")
+    pieces = F.split(F.regexp_extract(inside, "^((?:[^\u0002)]|\u0002[^\u0002]*\u0002)*)", 1), ",(?=(?:[^\u0002]*\u0002[^\u0002]*\u0002)*[^\u0002]*$)")
+    args = F.when(F.rlike(rest, F.lit(r'["(\[{<]')), F.transform(pieces, lambda p: F.translate(p, "\u0002", ""))).otherwise(simple)
+    return F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a != "")
+
+
+def kind_of(opcode: Column, indirect: Column | None = None) -> Column:
+    kind = F.when(opcode.isin("call", "invoke"), "Call" if indirect is None else F.when(indirect, "IndirectCall").otherwise("Call"))
     for name, ops in KINDS:
         kind = kind.when(opcode.isin(*ops.split("|")), name)
     return kind.otherwise("Other")
 
 
 def parse(rows: DataFrame) -> dict[str, DataFrame]:
-    """modules, functions, instructions, calls and debug locations of textual modules.
+    """modules, functions, instructions, calls, control-flow edges and debug locations of textual modules.
 
-    The current function is carried forward by a window over each module's lines; everything else is one projection a table.
-    Calls outside any function have the caller <top-level>. A call is external if its module declares the callee.
+    The current function and block are carried forward over stretches of each module's lines, so a long module is no one task;
+    everything else is one projection a table. Operands are an instruction's values in order: registers, globals and constants, for
+    a call its arguments, for a phi what comes in. An indirect call has the register as its callee. Calls outside any function have
+    the caller <top-level>. A call is external if its module declares the callee. A function's first block is "entry" if unnamed.
     """
-    w = Window.partitionBy("module_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = F.when(F.startswith("line", F.lit("define")), _name(F.regexp_extract("line", r'@("[^"]+"|[-\w.$]+)\(', 1)))
+    head = F.when(F.startswith("line", F.lit("define")), _name(F.regexp_extract("line", rf"(@(?:{_NAME}))\(", 1)))
     close = F.when(F.col("line") == "}", F.lit("\u0000"))
-    at = F.last(F.coalesce(head, close), ignorenulls=True).over(w)
-    rows = rows.withColumn("func", F.when(at != "\u0000", at)).withColumn("idx", F.row_number().over(Window.partitionBy("module_id").orderBy("line_no")))
+    label = F.when(head.isNotNull() | close.isNotNull(), F.lit("\u0000")).otherwise(F.when(F.endswith("line", F.lit(":")) | F.contains("line", F.lit(": ")), F.nullif(_name(F.regexp_extract("line", _LABEL, 1)), F.lit(""))))
+    rows = carried(rows, ["module_id"], "line_no", {"_at": F.coalesce(head, close), "_block": label}, "idx")
+    rows = rows.withColumn("func", F.when(F.col("_at") != "\u0000", F.col("_at"))).withColumn("block", F.when(F.col("_block") != "\u0000", F.col("_block")).otherwise(F.lit("entry")))
     signature = F.startswith("line", F.lit("define")) | F.startswith("line", F.lit("declare"))
     functions = rows.filter(signature).select(
-        "module_id", _name(F.regexp_extract("line", r'@("[^"]+"|[-\w.$]+)\(', 1)).alias("name"), F.startswith("line", F.lit("declare")).alias("is_declaration"),
-        F.filter(F.transform(F.split(F.regexp_extract("line", r"@(?:\"[^\"]+\"|[-\w.$]+)\(([^)]*)\)", 1), ","), F.trim), lambda p: p != "").alias("params"),
+        "module_id", _name(F.regexp_extract("line", rf"(@(?:{_NAME}))\(", 1)).alias("name"), F.startswith("line", F.lit("declare")).alias("is_declaration"),
+        F.filter(F.transform(F.split(F.regexp_extract("line", r"@(?:\"[^\"]+\"|[-\w.$]+)\(([^)]*)\)", 1), ","), lambda p: F.trim(p)), lambda p: p != "").alias("params"),
         F.regexp_extract("line", r"^(?:define|declare)\s+(?:[a-z_]+\s+)*?((?:void|ptr|i\d+|float|double|\{[^}]*\}|%[\w.]+)\**)\s+@", 1).alias("return_type"),
     )
-    body = rows.filter(F.col("func").isNotNull() & ~signature & (F.col("line") != "") & ~F.rlike("line", F.lit(r'^[-\w.$"]+:$')))
-    op = F.regexp_extract("line", r"^(?:%[-\w.$]+\s*=\s*)?(?:tail |musttail |notail )?(\w+)", 1)
+    body = rows.filter(F.col("func").isNotNull() & ~signature & ~F.col("line").isin("", "}") & ~F.startswith("line", F.lit("!")) & ~F.rlike("line", F.lit(_LABEL)))
+    op = F.regexp_extract("line", rf"^(?:%(?:{_NAME})\s*=\s*)?(?:tail |musttail |notail )?(\w+)", 1)
+    body = body.withColumn("opcode", op).withColumn("dest", F.nullif(F.regexp_extract("line", rf"^(%(?:{_NAME}))\s*=", 1), F.lit("")))
+    is_call = F.col("opcode").isin("call", "invoke")
+    target, rest = F.when(is_call, F.nullif(F.regexp_extract("line", _CALLED, 2), F.lit(""))), F.when(is_call, F.regexp_extract("line", _CALLED, 3))
+    body = body.withColumn("_target", target).withColumn("args", F.when(is_call, _arguments(rest)))
+    value = lambda text: F.regexp_extract_all(text, F.lit(_VALUE), F.lit(1))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", rf"^%(?:{_NAME})\s*=\s*", ""), r"^(?:getelementptr|load)\b[^,]*,|^alloca\b[^,]*", ""), _NO_VALUE, " ")
+    incoming = F.regexp_extract_all("line", F.lit(rf"\[\s*((?:[%@](?:{_NAME})|[-\w.]+))\s*,\s*%(?:{_NAME})\s*\]"), F.lit(1))
+    last_value = lambda a: F.try_element_at(value(F.regexp_replace(a, _NO_VALUE, " ")), F.lit(-1))
+    operands = F.when(is_call, F.filter(F.transform("args", last_value), lambda v: v.isNotNull())).when(F.col("opcode") == "phi", incoming).otherwise(value(bare))
+    indirect = F.startswith("_target", F.lit("%"))
     instructions = body.select(
-        "module_id", "func", F.col("idx").alias("inst_idx"), kind_of(op).alias("kind"), op.alias("opcode"), F.nullif(F.regexp_extract("line", r"^(%[-\w.$]+)\s*=", 1), F.lit("")).alias("dest"),
-        F.regexp_extract_all(F.regexp_replace("line", r"^%[-\w.$]+\s*=", ""), F.lit(r"(%[-\w.$]+)"), F.lit(1)).alias("operands"), F.nullif(F.regexp_extract("line", r"icmp\s+(\w+)", 1), F.lit("")).alias("icmp_pred"), F.col("line").alias("raw_text"),
+        "module_id", "func", F.col("idx").alias("inst_idx"), kind_of(F.col("opcode"), indirect).alias("kind"), "opcode", "dest", operands.alias("operands"), F.nullif(F.regexp_extract("line", r"[if]cmp\s+(?:\w+\s+)*?(\w+)\s+(?:ptr|i\d+|float|double|half|<|%|\[|\{)", 1), F.lit("")).alias("icmp_pred"),
+        F.when(~indirect, _name(F.col("_target"))).otherwise(F.col("_target")).alias("callee"), F.nullif(F.regexp_extract("line", r"atomicrmw\s+(?:volatile\s+)?(\w+)", 1), F.lit("")).alias("atomic_op"), "block", F.col("line").alias("raw_text"),
     )
+    targets = F.regexp_extract_all("line", F.lit(rf"label %({_NAME})"), F.lit(1))
+    edges = body.filter(F.col("opcode").isin("br", "switch", "invoke", "indirectbr")).select("module_id", "func", "block", F.explode(F.array_distinct(F.transform(targets, _name))).alias("successor")).distinct()
     declared = functions.filter("is_declaration").select("module_id", F.col("name").alias("_n")).distinct()
-    calls = rows.filter(F.rlike("line", F.lit(_CALL))).select(
-        "module_id", F.col("idx").alias("call_idx"), F.coalesce("func", F.lit("<top-level>")).alias("caller"), _name(F.regexp_extract("line", _CALL, 2)).alias("callee"), F.nullif(F.regexp_extract("line", _CALL, 1), F.lit("")).alias("result"),
-        F.filter(F.transform(F.split(F.regexp_extract("line", _CALL, 3), ","), F.trim), lambda a: a != "").alias("args"), F.nullif(F.regexp_extract("line", r"!dbg !(\d+)", 1), F.lit("")).alias("dbg"),
-    )
+    in_body = rows.filter(F.rlike("line", F.lit(_MADE)))
+    call_rest = F.regexp_extract("line", _CALLED, 3)
+    calls = in_body.select(
+        "module_id", F.col("idx").alias("call_idx"), F.coalesce("func", F.lit("<top-level>")).alias("caller"), F.nullif(F.regexp_extract("line", _CALLED, 2), F.lit("")).alias("_t"), F.nullif(F.regexp_extract("line", _CALLED, 1), F.lit("")).alias("result"),
+        _arguments(call_rest).alias("args"), F.nullif(F.regexp_extract("line", r"!dbg !(\d+)", 1), F.lit("")).alias("dbg"),
+    ).filter("_t is not null")
+    calls = calls.select("module_id", "call_idx", "caller", F.when(F.startswith("_t", F.lit("@")), _name(F.col("_t"))).otherwise(F.col("_t")).alias("callee"), "result", "args", "dbg")
     calls = calls.join(declared, (calls["module_id"] == declared["module_id"]) & (F.col("callee") == F.col("_n")), "left").select(calls["*"], F.col("_n").isNotNull().alias("is_external"))
     places = rows.filter(F.rlike("line", F.lit(r"^!\d+ = .*!DILocation"))).select("module_id", F.regexp_extract("line", r"^!(\d+)", 1).alias("dbg"), F.regexp_extract("line", r"line: (\d+)", 1).cast("int").alias("line"), F.regexp_extract("line", r"column: (\d+)", 1).cast("int").alias("column"))
     quoted = lambda key: F.max(F.nullif(F.regexp_extract("line", key + r'\s*=\s*"([^"]*)"', 1), F.lit("")))
     modules = rows.groupBy("module_id").agg(quoted("^target triple").alias("target_triple"), quoted("^target datalayout").alias("data_layout"))
     size = F.regexp_extract("data_layout", r"(?:^|-)p(?:0)?:(\d+)", 1)
     modules = modules.withColumn("pointer_size", F.when(size != "", size.cast("int") / 8).otherwise(8).cast("int")).withColumn("little_endian", ~F.coalesce(F.startswith("data_layout", F.lit("E")), F.lit(False)))
-    return {"modules": modules, "functions": functions, "instructions": instructions, "calls": calls, "locations": places}
+    return {"modules": modules, "functions": functions, "instructions": instructions, "calls": calls, "cfg_edges": edges, "locations": places}
 
 
 MODULE_JSON = "module_id string, target_triple string, functions array<struct<name:string,return_type:string,params:array<string>,blocks:array<struct<label:string,successors:array<string>,instructions:array<struct<opcode:string,dest:string,operands:array<string>,callee:string,raw:string>>>>>>, declarations array<struct<name:string,return_type:string,params:array<string>>>"
@@ -82,7 +124,7 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rows = spark.read.schema(MODULE_JSON).json(path, multiLine=True)
     f = rows.select("module_id", F.explode("functions").alias("f"))
     blocks = f.select("module_id", F.col("f.name").alias("func"), F.posexplode("f.blocks").alias("block_no", "b"))
-    inst = blocks.select("module_id", "func", "block_no", F.posexplode("b.instructions").alias("i", "x")).withColumn("inst_idx", F.row_number().over(Window.partitionBy("module_id", "func").orderBy("block_no", "i")))
+    inst = blocks.select("module_id", "func", "block_no", F.col("b.label").alias("label"), F.posexplode("b.instructions").alias("i", "x")).withColumn("inst_idx", F.row_number().over(Window.partitionBy("module_id", "func").orderBy("block_no", "i")))
     decls = rows.select("module_id", F.explode_outer("declarations").alias("d")).select("module_id", F.col("d.name").alias("name"), F.lit(True).alias("is_declaration"), F.col("d.params").alias("params"), F.col("d.return_type").alias("return_type")).filter("name is not null")
     functions = f.select("module_id", F.col("f.name").alias("name"), F.lit(False).alias("is_declaration"), F.col("f.params").alias("params"), F.col("f.return_type").alias("return_type")).unionByName(decls)
     declared = decls.select("module_id", F.col("name").alias("callee"), F.lit(True).alias("_d")).distinct()
@@ -93,7 +135,7 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "modules": size.select("module_id", "target_triple", none.alias("data_layout"), F.lit(8).alias("pointer_size"), F.lit(True).alias("little_endian")),
         "functions": functions,
-        "instructions": inst.select("module_id", "func", "inst_idx", kind_of(opcode).alias("kind"), opcode.alias("opcode"), F.col("x.dest").alias("dest"), F.coalesce("x.operands", F.array().cast("array<string>")).alias("operands"), F.nullif(F.regexp_extract(F.coalesce("x.raw", F.lit("")), r"icmp\s+(\w+)", 1), F.lit("")).alias("icmp_pred"), F.col("x.raw").alias("raw_text")),
+        "instructions": inst.select("module_id", "func", "inst_idx", kind_of(opcode, F.startswith("x.callee", F.lit("%"))).alias("kind"), opcode.alias("opcode"), F.col("x.dest").alias("dest"), F.coalesce("x.operands", F.array().cast("array<string>")).alias("operands"), F.nullif(F.regexp_extract(F.coalesce("x.raw", F.lit("")), r"icmp\s+(\w+)", 1), F.lit("")).alias("icmp_pred"), F.col("x.callee").alias("callee"), F.nullif(F.regexp_extract(F.coalesce("x.raw", F.lit("")), r"atomicrmw\s+(?:volatile\s+)?(\w+)", 1), F.lit("")).alias("atomic_op"), F.col("label").alias("block"), F.col("x.raw").alias("raw_text")),
         "calls": calls.select("module_id", "call_idx", "caller", "callee", "result", "args", "dbg", "is_external"),
         "cfg_edges": blocks.select("module_id", "func", F.col("b.label").alias("block"), F.explode("b.successors").alias("successor")),
         "locations": calls.select("module_id", "dbg", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column")).filter("dbg is not null"),

@@ -19,6 +19,9 @@ BROADCAST_ROWS = 200_000
 #: A join key with more rows than this on one side is joined by broadcast of the other side's rows for it.
 BUSY_ROWS = 1000
 
+#: Values of an order that one window of ``carried`` spans.
+CHUNK = 65_536
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -112,6 +115,26 @@ def split_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inne
     return hot.unionByName(dealt.filter("_busy is null").drop("_busy").join(side, on, how))
 
 
+def carried(rows: DataFrame, keys: list[str], at: str, values: dict[str, Column], ordinal: str | None = None, size: int = CHUNK) -> DataFrame:
+    """``rows`` with, for each of ``values``, its last non-null value up to the row, in the order of the integer ``at`` within
+    ``keys``; and with the row's number from 1 as ``ordinal``, if named.
+
+    Stretches of ``size`` of ``at`` are windows of their own; what each leaves behind, a row a stretch, is carried over to the next
+    ones and joined back by the same keys. So no key has to fit a task, and the rows are shuffled once.
+    """
+    rows = rows.withColumns({f"_v_{n}": v for n, v in values.items()} | {"_stretch": F.floor(F.col(at) / size).cast("long")})
+    inner = Window.partitionBy(*keys, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in values} | {"_n": F.row_number().over(inner).cast("long")})
+    left = rows.groupBy(*keys, "_stretch").agg(F.max("_n").alias("_count"), *[F.max_by(n, "_n").alias(f"_l_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_stretch").alias("_s"), F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in values])
+    on: Column = F.col("_stretch") == F.col("_s")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(left, on).withColumns({n: F.coalesce(n, f"_b_{n}") for n in values} | ({ordinal: F.col("_n") + F.col("_before")} if ordinal else {}))
+    return out.drop("_stretch", "_s", "_n", "_before", *[f"_k_{k}" for k in keys], *[f"_{x}_{n}" for n in values for x in "vb"])
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int | None = None) -> DataFrame:
     """A gapless rank from 0 within ``keys`` without ever holding one key in one task.
 
