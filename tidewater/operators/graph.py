@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.spark import materialize
+from tidewater.spark import materialize, release
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,7 +34,7 @@ def closure(edges: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     round joins the newest facts only. Cycles end as their facts are known already. A round is written to the shared folder."""
     e = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
     known = new = materialize(facts.select(*keys, "node", "root").distinct())
-    e = materialize(e.join(new.select(*keys).distinct(), keys, "left_semi"))
+    e = materialize(e.join(new.select(*keys).distinct(), keys, "left_semi") if keys else e)
     while True:
         step = new.join(e, [*keys, "node"]).select(*keys, F.col("_to").alias("node"), "root").distinct()
         new = materialize(step.join(known, [*keys, "node", "root"], "left_anti"))
@@ -73,6 +74,58 @@ def fixpoint(nodes: DataFrame, edges: DataFrame, transfer: Callable[[Column], Co
         state = new.select("node", "value")
 
 
+@dataclass(frozen=True)
+class Domain:
+    """A lattice for ``flow``. ``boundary`` is the value where flow begins, ``start`` that of everything else before any came: the least
+    one if values are joined, the greatest if they meet. ``combine`` aggregates what comes in, ``both`` combines two values,
+    ``transfer`` is what a node makes of what comes in; all are column expressions, and ``transfer`` may use the node's own columns."""
+
+    boundary: Column
+    start: Column
+    combine: Callable[[Column], Column]
+    both: Callable[[Column, Column], Column]
+    transfer: Callable[[Column], Column]
+    backward: bool = False
+
+
+def bitsets(every: bool = False, backward: bool = False) -> Domain:
+    """Sets as 64-bit words of nodes with ``gen`` and ``kill`` words: what may come (union) or what comes on every path (intersection)."""
+    zero, ones = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    both = (lambda a, b: a.bitwiseAND(b)) if every else (lambda a, b: a.bitwiseOR(b))
+    return Domain(zero, ones if every else zero, F.bit_and if every else F.bit_or, both, lambda v: v.bitwiseAND(F.bitwise_not("kill")).bitwiseOR(F.col("gen")), backward)
+
+
+def flow(domain: Domain, nodes: DataFrame, edges: DataFrame, scope: list[str], parts: list[str] | None = None, rounds: int | None = None) -> DataFrame:
+    """Dataflow to its fixpoint: ``nodes`` (scope, node, parts, begins, own columns) with ``before`` and ``after``, what comes in and what
+    goes out in the direction of flow. ``edges`` has (scope, src, dst); ``parts`` name what flows separately, such as the word of a
+    bitset, so a value of any width is rows of fixed size. Each round is one join, one partial aggregation and one table in the
+    shared folder; a state that still changes after ``rounds``, if given, is an error."""
+    parts = parts or []
+    src, dst = ("dst", "src") if domain.backward else ("src", "dst")
+    e = edges.select(*scope, F.col(src).alias("node"), F.col(dst).alias("_to")).distinct()
+    own = [c for c in nodes.columns if c not in ("before", "after")]
+    first = F.when(F.col("begins"), domain.boundary).otherwise(domain.start)
+    state = materialize(nodes.withColumn("before", first).withColumn("after", domain.transfer(F.col("before"))))
+    for done in itertools.count(1):
+        sent = e.join(state.select(*scope, "node", *parts, "after"), [*scope, "node"]).groupBy(*scope, F.col("_to").alias("node"), *parts).agg(domain.combine(F.col("after")).alias("_in"))
+        met = state.withColumnRenamed("after", "_was").join(sent, [*scope, "node", *parts], "left")
+        came = F.when(F.col("_in").isNull(), F.col("before")).when(F.col("begins"), domain.both(F.col("_in"), domain.boundary)).otherwise(F.col("_in"))
+        new = materialize(met.withColumn("before", came).withColumn("after", domain.transfer(F.col("before"))).select(*own, "before", "after", "_was"))
+        release(state)
+        state = new
+        if state.filter(~F.col("after").eqNullSafe(F.col("_was"))).isEmpty():
+            return state.drop("_was")
+        if done == rounds:
+            raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        state = _without(state, "_was")
+
+
+def _without(df: DataFrame, column: str) -> DataFrame:
+    out = df.drop(column)
+    out._tidewater_path = getattr(df, "_tidewater_path", None)
+    return out
+
+
 def cross_module(defs: DataFrame, decls: DataFrame, symbol: str, module: str) -> DataFrame:
     """Symbols that one module declares and another defines."""
     d = defs.select(F.col(symbol), F.col(module).alias("defined_in")).distinct()

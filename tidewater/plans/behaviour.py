@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators import behaviour
+from tidewater.operators import behaviour, detectors
 from tidewater.plans.tables import read
 from tidewater.sources import ir
 
@@ -163,3 +163,78 @@ a AS (SELECT s.h, 'StoreToOwner' AS pattern, arg_min(o1, n) AS detail FROM s JOI
   UNION ALL SELECT h, 'StoreToRuntime', arg_min(o1, n) FROM s WHERE kind = 'Store' AND o1 LIKE '@%' GROUP BY h
   UNION ALL SELECT h, 'ResourceEscape', max(w) FROM (SELECT h, 'ReturnValue' AS w FROM s WHERE kind = 'Ret' UNION ALL SELECT s.h, 'OutParameter' FROM s JOIN of ON s.h = of.h AND s.o1 = of.dest AND of.kind = 'Alloca' WHERE s.kind = 'Store') GROUP BY h
   UNION ALL SELECT h, 'ReleaseOnAllExitPaths', 'free' FROM j GROUP BY h HAVING bool_or(rel) AND coalesce(min(n) FILTER (WHERE rel) < min(n) FILTER (WHERE kind = 'Ret'), TRUE)) SELECT {_NAME}, pattern, detail FROM a"""
+
+
+def j18_last_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each load with the stores to what it reads, and the last one before it with its value (J-18)."""
+    found = detectors.reaching_stores(instructions(spark, sf_dir))
+    return found.select("module_id", "func", F.col("inst_idx").cast("long").alias("inst_idx"), "address", "n_stores", "last_store", "value")
+
+
+_STORED = "(SELECT {what} FROM j s WHERE s.h = l.h AND s.kind = 'Store' AND s.o1 = l.o0 AND s.n < l.n)"
+QUERIES["j18_last_stores"] = j18_last_stores
+ORACLE["j18_last_stores"] = f"""WITH {SQL} SELECT {_NAME}, n + 1 AS inst_idx, o0 AS address, (SELECT count(*) FROM j s WHERE s.h = l.h AND s.kind = 'Store' AND s.o1 = l.o0) AS n_stores, {_STORED.format(what="max(s.n)")} + 1 AS last_store, {_STORED.format(what="arg_max(s.o0, s.n)")} AS value FROM j l WHERE kind = 'Load'"""
+
+
+def g11_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root sets of all registers and globals (G-11, G-14)."""
+    return detectors.roots(instructions(spark, sf_dir))
+
+
+_IS_NAME = "regexp_matches({0}, '^[%@]')"
+_CHAINS = f"""edge AS MATERIALIZED (SELECT h, src, dst FROM (SELECT h, unnest(CASE WHEN kind IN ('Conversion', 'GetElementPtr') THEN ops[1:1] WHEN kind = 'Phi' THEN ops WHEN kind = 'Select' THEN ops[2:3] ELSE [] END) AS src, dest AS dst FROM j WHERE dest IS NOT NULL) WHERE {_IS_NAME.format("src")} UNION ALL {{through}}),
+slot AS MATERIALIZED ({{slots}}), name AS (SELECT DISTINCT h, o FROM (SELECT h, unnest(list_append(ops, dest)) AS o FROM j) WHERE {_IS_NAME.format("o")}),
+r(h, register, root) AS (SELECT h, o, o FROM name WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.h = name.h AND e.dst = name.o) AND NOT EXISTS (SELECT 1 FROM slot s WHERE s.h = name.h AND s.node = name.o)
+  UNION SELECT h, node, root FROM slot UNION SELECT r.h, e.dst, r.root FROM r JOIN edge e ON r.h = e.h AND r.register = e.src)"""
+_ROOTS = _CHAINS.format(through="SELECT l.h, s.o0, l.dest FROM j l JOIN j s ON l.h = s.h AND s.kind = 'Store' AND s.o1 = l.o0 WHERE l.kind = 'Load' AND " + _IS_NAME.format("s.o0"), slots="SELECT h, dest AS node, o0 AS root FROM j WHERE kind = 'Load'")
+QUERIES["g11_roots"] = g11_roots
+ORACLE["g11_roots"] = f"WITH RECURSIVE {SQL}, {_ROOTS} SELECT {_NAME}, register, root FROM r"
+
+
+def d21_may_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pointers of any two releases of a function may be one (D-21, U-7)."""
+    rows = instructions(spark, sf_dir)
+    sites = rows.filter("callee = 'free'").select("module_id", "func", "inst_idx", F.try_element_at("operands", F.lit(1)).alias("r"))
+    one, two = (sites.select("module_id", "func", F.col("inst_idx").alias(f"{s}_at"), F.col("r").alias(s)) for s in "ab")
+    pairs = one.join(two, ["module_id", "func"]).filter("a_at < b_at").select("module_id", "func", "a", "b").distinct()
+    return detectors.may_alias(detectors.roots(rows), pairs)
+
+
+QUERIES["d21_may_alias"] = d21_may_alias
+ORACLE["d21_may_alias"] = f"""WITH RECURSIVE {SQL}, {_ROOTS}, p AS (SELECT DISTINCT a.h, a.o0 AS a, b.o0 AS b FROM j a JOIN j b ON a.h = b.h AND a.n < b.n WHERE a.rel AND b.rel)
+SELECT {_NAME}, a, b, EXISTS (SELECT 1 FROM r x JOIN r y ON x.h = y.h AND x.root = y.root WHERE x.h = p.h AND x.register = p.a AND y.register = p.b) AS aliased FROM p"""
+
+
+def w6_poisoned_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of freed memory through registers and slots, in program order (W-6)."""
+    found = detectors.poisoned_uses(instructions(spark, sf_dir), behaviour.RELEASES)
+    return found.select("module_id", "func", F.col("inst_idx").cast("long").alias("inst_idx"), "register", "use")
+
+
+_VERSIONS = _CHAINS.format(
+    through=f"SELECT h, v, dest FROM (SELECT l.h, l.dest, {_STORED.format(what='arg_max(s.o0, s.n)')} AS v FROM j l WHERE l.kind = 'Load') WHERE {_IS_NAME.format('v')}",
+    slots=f"SELECT h, dest AS node, '*' || o0 AS root FROM j l WHERE kind = 'Load' AND {_STORED.format(what='max(s.n)')} IS NULL",
+)
+_USES = f"""WITH RECURSIVE {SQL}, {_VERSIONS}, freed AS (SELECT j.h, root, min(n) AS at_ FROM j JOIN r ON j.h = r.h AND j.o0 = r.register WHERE rel GROUP BY j.h, root),
+used AS (SELECT h, n, CASE WHEN rel THEN 'release' WHEN kind IN ('Call', 'IndirectCall') THEN 'call' ELSE lower(kind) END AS use, unnest(CASE WHEN kind = 'Store' THEN ops[2:2] WHEN kind = 'Load' THEN ops[1:1] ELSE ops END) AS register FROM j WHERE kind IN ('Store', 'Load', 'Call', 'IndirectCall')),
+hit AS (SELECT DISTINCT u.h, u.n, u.register, u.use FROM used u JOIN r ON r.h = u.h AND r.register = u.register JOIN freed f ON f.h = u.h AND f.root = r.root WHERE u.n > f.at_)"""
+QUERIES["w6_poisoned_uses"] = w6_poisoned_uses
+ORACLE["w6_poisoned_uses"] = f"{_USES} SELECT {_NAME}, n + 1 AS inst_idx, register, use FROM hit"
+
+
+def d18_post_free_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freed memory that is handed to calls (D-18)."""
+    return detectors.post_free_calls(instructions(spark, sf_dir), behaviour.RELEASES).withColumn("inst_idx", F.col("inst_idx").cast("long"))
+
+
+QUERIES["d18_post_free_calls"] = d18_post_free_calls
+ORACLE["d18_post_free_calls"] = f"{_USES} SELECT {_NAME}, n + 1 AS inst_idx, register FROM hit WHERE use = 'call'"
+
+
+def d2_constant_overflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies whose size is a parameter and a constant more (D-2)."""
+    return detectors.constant_overflows(instructions(spark, sf_dir)).withColumn("inst_idx", F.col("inst_idx").cast("long"))
+
+
+QUERIES["d2_constant_overflows"] = d2_constant_overflows
+ORACLE["d2_constant_overflows"] = f"WITH {SQL} SELECT DISTINCT 'm' || c.h AS module_id, 'fn' || c.h AS func, c.n + 1 AS inst_idx, 'memset' AS callee, 'add' AS opcode, CAST(a.ops[2] AS BIGINT) AS amount FROM j c JOIN j a ON a.h = c.h AND a.opcode = 'add' AND a.dest = c.ops[3] WHERE c.callee = 'memset'"

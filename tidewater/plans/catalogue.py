@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import behaviour, evidence, graphs, ir, matching, reporting, symbols, verdicts
+from tidewater.plans import behaviour, evidence, flows, graphs, ir, matching, reporting, symbols, verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for module in (matching, symbols, verdicts, graphs, evidence, reporting, ir, behaviour):
+for module in (matching, symbols, verdicts, graphs, evidence, reporting, ir, behaviour, flows):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE

@@ -122,12 +122,3 @@ def d22_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["p6_parsed_kinds"] = d22_kind_counts
 ORACLE["p6_parsed_kinds"] = f"WITH {SQL} SELECT module_id, func, count(*) FILTER (WHERE kind = 'Load') AS n_load, count(*) FILTER (WHERE kind = 'Store') AS n_store, count(*) FILTER (WHERE kind = 'Call') AS n_call FROM i GROUP BY module_id, func"
-
-
-def j18_last_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each load with the stores to the register it reads, wherever they stand in the function, and the last one before it."""
-    return detectors.loads_with_stores(tables(spark, sf_dir)["instructions"]).select("module_id", F.col("inst_idx").cast("long").alias("inst_idx"), "n_stores", F.col("last_store").cast("long").alias("last_store"))
-
-
-QUERIES["j18_last_stores"] = j18_last_stores
-ORACLE["j18_last_stores"] = f"WITH {SQL} SELECT a.module_id, a.inst_idx, count(b.inst_idx) AS n_stores, max(CASE WHEN b.inst_idx < a.inst_idx THEN b.inst_idx END) AS last_store FROM i a LEFT JOIN i b ON a.module_id = b.module_id AND b.kind = 'Store' WHERE a.kind = 'Load' GROUP BY a.module_id, a.inst_idx"
