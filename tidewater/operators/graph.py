@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.spark import materialize, release
 
@@ -43,6 +44,31 @@ def closure(edges: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
         known = known.unionByName(new)
 
 
+def reachable_sites(edges: DataFrame, sites: DataFrame, depth: int) -> DataFrame:
+    """(node, family, n_sites): how many sites of each family a node reaches within ``depth`` hops, itself included; ``sites`` has
+    (family, node). Answers whether and how often for every node at once, without a row for each pair of node and site.
+
+    The sites of a family are numbered; a node's sites are bits in rows of 64. They travel backward along the edges: each round joins
+    only what changed in the last one, or-s it by node in a partial aggregation and is written to the shared folder, so rows stay linear
+    in nodes and words, and after k rounds the bits are exactly the sites within k hops.
+    """
+    order = Window.partitionBy("family").orderBy("node")
+    numbered = sites.select("family", "node").distinct().withColumn("_n", F.row_number().over(order) - 1)
+    first = numbered.select("node", "family", F.floor(F.col("_n") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(_n % 64 AS INT))").alias("bits"))
+    known = materialize(first.groupBy("node", "family", "word").agg(F.bit_or("bits").alias("bits")))
+    back = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("_to")).distinct())
+    fresh = known
+    for _ in range(depth):
+        came = fresh.join(back, "node").groupBy(F.col("_to").alias("node"), "family", "word").agg(F.bit_or("bits").alias("_in"))
+        met = known.join(came, ["node", "family", "word"], "full")
+        both = F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.coalesce("_in", F.lit(0).cast("long")))
+        state = materialize(met.select("node", "family", "word", both.alias("bits"), both.bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))).alias("_new")))
+        known, fresh = state.select("node", "family", "word", "bits"), state.filter("_new != 0").select("node", "family", "word", F.col("_new").alias("bits"))
+        if fresh.isEmpty():
+            break
+    return known.groupBy("node", "family").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_sites"))
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node of each connected component, by minimum labels with pointer jumping."""
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
