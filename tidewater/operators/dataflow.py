@@ -34,7 +34,7 @@ def blocks(instructions: DataFrame, edges: DataFrame) -> DataFrame:
 def _solve(instructions: DataFrame, edges: DataFrame, items: DataFrame, facts: DataFrame, every: bool, backward: bool, side: str) -> DataFrame:
     """(module_id, func, block, item) that hold at ``side`` (before, after) of each block. ``facts`` has (module_id, func, node, item,
     gen, kill); ``items`` what is counted at all."""
-    numbers = materialize(_numbered(items))
+    numbers, edges = materialize(_numbered(items)), materialize(edges)
     words = facts.join(numbers, [*FUNC, "item"]).groupBy(*FUNC, "node", "word").agg(F.bit_or(F.when(F.col("gen"), _bit()).otherwise(F.lit(0).cast("long"))).alias("gen"), F.bit_or(F.when(F.col("kill"), _bit()).otherwise(F.lit(0).cast("long"))).alias("kill"))
     width = numbers.groupBy(*FUNC).agg(F.max("word").alias("_w"))
     dense = blocks(instructions, edges).join(width, FUNC).withColumn("word", F.explode(F.sequence(F.lit(0), F.col("_w")))).drop("_w")

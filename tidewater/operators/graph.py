@@ -128,7 +128,7 @@ def flow(domain: Domain, nodes: DataFrame, edges: DataFrame, scope: list[str], p
     shared folder; a state that still changes after ``rounds``, if given, is an error."""
     parts = parts or []
     src, dst = ("dst", "src") if domain.backward else ("src", "dst")
-    e = edges.select(*scope, F.col(src).alias("node"), F.col(dst).alias("_to")).distinct()
+    e = materialize(edges.select(*scope, F.col(src).alias("node"), F.col(dst).alias("_to")).distinct())
     own = [c for c in nodes.columns if c not in ("before", "after")]
     first = F.when(F.col("begins"), domain.boundary).otherwise(domain.start)
     state = materialize(nodes.withColumn("before", first).withColumn("after", domain.transfer(F.col("before"))))
