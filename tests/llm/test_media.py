@@ -93,3 +93,13 @@ def test_meeting_connects_all_close_descriptors():
         close = [(image[i], image[j]) for i in m for j in m if np.bitwise_count(bits[i] ^ bits[j]).sum() <= FAR_BITS]
         assert classes(meeting(key[m], image[m], bits[m])) == classes(close)
     assert len(meeting(key[:0], image[:0], bits[:0])) == 0
+
+
+def test_images_of_one_id_are_all_kept(spark):
+    """Two images have the id 1; the second one has an edited copy, 3, and a third, 5, hangs on nothing."""
+    one, two, other = picture(50), picture(51), picture(52)
+    edited = two.copy()
+    edited[:30, :30] = 9
+    data = [row(1, one), row(1, two), row(3, edited), row(5, other), row(7, one), (1, None, 3, 3, ""), (9, None, 3, 3, "")]
+    got = sorted((r["image_id"], r["class_id"], r["n_corners"] > 0) for r in link_images(spark.createDataFrame(data, SCHEMA)).collect())
+    assert got == [(1, 1, False), (1, 1, True), (1, 1, True), (3, 1, True), (5, 5, True), (7, 1, True), (9, 9, False)]

@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.llm.similarity import components
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize, ship
+from tidewater.spark import materialize, ship, split_join
 
 #: Scales, each half the one before; corners kept at each; tests of a descriptor; radius of its patch.
 SCALES, CORNERS, BITS, RADIUS = 3, 24, 128, 9
@@ -186,7 +187,8 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     n_corners, class_id, the smallest image_id reachable by links, itself included.
 
     Images that are null, have no size or not height x width bytes have no corners and no links; those with identical pixels are
-    linked. Rows of a null image_id take no part and get a null class. Repeated rows get the same class. Any size is read whole.
+    linked, and so are rows of one image_id, whatever their pixels: none of them is lost. Rows of a null image_id take no part and get
+    a null class. Any size is read whole.
     Other columns are ignored; an empty table gives an empty result.
     """
     ship(images.sparkSession)
@@ -233,10 +235,13 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
     schema = "image_id long, digest string, n int, corners binary, descriptors binary"
     # pixels of identical images are described once
     named = rows.filter("image_id is not null").withColumn("_same", F.md5(F.concat("pixels", F.encode(F.concat(F.lit(":"), F.coalesce("height", F.lit(0)), F.lit(":"), F.coalesce("width", F.lit(0))), "utf-8"))))
-    firsts = named.groupBy("_same").agg(F.min("image_id").alias("rep"))
-    ids = materialize(named.select("image_id", "_same").join(firsts, "_same", "left").select("image_id", F.coalesce("rep", "image_id").alias("rep")))
-    alone = named.join(bounded_broadcast(firsts), (F.col("image_id") == F.col("rep")) & (named["_same"] == firsts["_same"]), "left_semi").dropDuplicates(["image_id"])
-    made = materialize(alone.select("image_id", "pixels", "height", "width").mapInPandas(extract, schema))
+    # a content goes by its least id; if that is another content's too, by a number of its own below all ids that are likely
+    own = F.row_number().over(Window.partitionBy("rep").orderBy("_same"))
+    number = -F.conv(F.substring("_same", 1, 15), 16, 10).cast("long") - 1
+    firsts = materialize(named.filter("_same is not null").groupBy("_same").agg(F.min("image_id").alias("rep")).withColumn("_k", own).withColumn("name", F.when(F.col("_k") == 1, F.col("rep")).otherwise(number)).drop("_k"))
+    ids = materialize(named.select("image_id", "_same").join(firsts, "_same", "left").select("image_id", F.coalesce("name", "image_id").alias("name"), F.when(F.col("_same").isNotNull(), F.coalesce("name", "image_id")).alias("content")))
+    alone = named.join(firsts, (F.col("image_id") == F.col("rep")) & (named["_same"] == firsts["_same"])).dropDuplicates(["name"])
+    made = materialize(alone.select(F.col("name").alias("image_id"), "pixels", "height", "width").mapInPandas(extract, schema))
     keyed = made.select("image_id", "n", "descriptors").mapInPandas(spread, "key long, image_id long, low long, high long")
     blocks = components(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long").distinct())
     total = made.join(blocks, F.col("image_id") == F.col("node")).groupBy("component").agg(F.sum("n").alias("total"))
@@ -263,9 +268,15 @@ def link_images(images: DataFrame, block: int | None = None) -> DataFrame:
         close()
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    found = components(dealt.repartition("block").sortWithinPartitions("block", "image_id").mapInPandas(search, "a long, b long"))
-    out = ids.join(made.select(F.col("image_id").alias("_i"), "n"), F.col("rep") == F.col("_i"), "left").join(found, F.col("rep") == F.col("node"), "left")
-    out = out.select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("component", "rep").alias("class_id"))
+    # rows of one id are one class, whatever their pixels
+    several = ids.groupBy("image_id").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a != b")
+    same_id = ids.join(several.select("image_id", "a"), "image_id").filter("a != name").select("a", F.col("name").alias("b")).distinct()
+    links = dealt.repartition("block").sortWithinPartitions("block", "image_id").mapInPandas(search, "a long, b long")
+    found = components(links.unionByName(same_id))
+    out = ids.join(made.select(F.col("image_id").alias("_i"), "n"), F.col("content") == F.col("_i"), "left").join(found, F.col("name") == F.col("node"), "left")
+    out = out.select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("component", "name").alias("component"))
+    least = out.groupBy("component").agg(F.min("image_id").alias("class_id"))
+    out = split_join(out, least, ["component"]).select("image_id", "n_corners", "class_id")
     return out.unionByName(rows.filter("image_id is null").select("image_id", F.lit(0).cast("long").alias("n_corners"), F.lit(None).cast("long").alias("class_id")))
 
 
