@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.evidence import SCALARS
-from tidewater.spark import materialize, release, split_join
+from tidewater.spark import materialize, release
 
 # Sizes of scalar types, each aligned to its size; all other types count as (0, 1). Vectors are aligned to at most 16.
 SIZES = SCALARS | {"fp128": 16, "ppc_fp128": 16}
@@ -99,44 +101,36 @@ def _placed(fields: Column, packed: Column) -> Column:
 def layouts(types: DataFrame) -> DataFrame:
     """(module_id, name, packed, size, align, padding, complete, recursive, fields, places) of named types (module_id, name, body).
 
-    Levels go bottom-up: a round lays out the types all of whose named parts are known, so rounds are as many as types nest, and a
-    round shuffles only types that wait, by (module, name); a part that very many types hold is split. Types that hold themselves by
-    value never get ready: they and what holds them come out ``recursive`` without a size. Undefined, opaque and unknown types take
-    (0, 1), and whatever holds one is not ``complete``. Behind a pointer a type's own layout plays no part.
+    Levels go bottom-up: a round lays out the types all of whose named parts are known and hands their sizes to the types that hold
+    them, each use once, so rounds are as many as types nest. Types that hold themselves by value never get ready: they and what holds
+    them come out ``recursive`` without a size. Undefined, opaque and unknown types take (0, 1), and whatever holds one is not
+    ``complete``. Behind a pointer a type's own layout plays no part. Names and modules that are null take no part.
     """
     keys = ["module_id", "name"]
     tokens = F.regexp_extract_all(F.regexp_replace("body", _FUNCTION, "ptr"), F.lit(_TOKEN), F.lit(1))
-    types = types.filter("body is not null").groupBy(*keys).agg(F.min("body").alias("body")).withColumn("tokens", tokens)
+    types = types.filter("module_id is not null and name is not null and body is not null").groupBy(*keys).agg(F.min("body").alias("body"))
+    types = types.select(*keys, F.startswith("body", F.lit("<{")).alias("packed"), (F.col("body") == "opaque").alias("opaque"), F.when(F.col("body") != "opaque", tokens).otherwise(F.array().cast("array<string>")).alias("tokens"))
     named = F.filter("tokens", lambda t: F.startswith(t, F.lit("%")) & ~F.endswith(t, F.lit("*")))
-    waiting = materialize(types.select(*keys, F.startswith("body", F.lit("<{")).alias("packed"), (F.col("body") == "opaque").alias("opaque"), F.when(F.col("body") == "opaque", F.array().cast("array<string>")).otherwise(F.col("tokens")).alias("tokens"), F.array_distinct(F.transform(named, lambda t: F.translate(F.substring(t, 2, 1_000_000), '"', ""))).alias("refs")))
-    defined = waiting.select("module_id", F.col("name").alias("ref"))
-    uses = materialize(split_join(waiting.select(*keys, F.explode("refs").alias("ref")), defined.withColumn("_d", F.lit(True)), ["module_id", "ref"]).select(*keys, "ref"))
-    open_uses, known = uses, None
-    done: DataFrame | None = None
+    types = types.withColumn("refs", F.array_distinct(F.transform(named, lambda t: F.translate(F.substring(t, 2, 1_000_000), '"', ""))))
+    defined = types.select("module_id", F.col("name").alias("ref"))
+    uses = materialize(types.select(*keys, F.explode("refs").alias("ref")).join(defined, ["module_id", "ref"]))
+    needs = uses.groupBy(*keys).agg(F.count(F.lit(1)).alias("needs"))
+    waiting = materialize(types.drop("refs").join(needs, keys, "left").withColumns({"needs": F.coalesce("needs", F.lit(0)), "known": F.expr("CAST(map() AS map<string,struct<size:bigint,align:bigint,complete:boolean>>)")}))
+    done, is_ready = [], F.size("known") == F.col("needs")
+    total = F.aggregate("_f.fields", F.lit(0).cast("long"), lambda n, f: n + f["size"])
     while True:
-        ready = waiting.join(open_uses.select(*keys).distinct(), keys, "left_anti")
-        if known is None:
-            sizes = ready.select(*keys).limit(0).withColumn("known", F.expr("CAST(map() AS map<string,struct<size:bigint,align:bigint,complete:boolean>>)"))
-        else:
-            part = known.select("module_id", F.col("name").alias("ref"), F.struct("size", "align", "complete").alias("layout"))
-            mine = uses.join(ready.select(*keys), keys, "left_semi")
-            sizes = split_join(mine, part, ["module_id", "ref"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ref", "layout"))).alias("known"))
-        ready = ready.join(sizes, keys, "left").withColumn("known", F.coalesce("known", F.expr("CAST(map() AS map<string,struct<size:bigint,align:bigint,complete:boolean>>)")))
-        laid = ready.withColumn("_f", _fields(F.col("tokens"), F.col("known"))).withColumn("_p", _placed(F.col("_f.fields"), F.col("packed")))
-        total = F.aggregate("_f.fields", F.lit(0).cast("long"), lambda n, f: n + f["size"])
-        new = materialize(laid.select(*keys, "packed", F.when(F.col("opaque"), 0).otherwise(F.col("_p.size")).cast("long").alias("size"), F.col("_p.align").alias("align"), F.when(F.col("opaque"), 0).otherwise(F.col("_p.size") - total).cast("long").alias("padding"), (F.col("_f.complete") & ~F.col("opaque")).alias("complete"), F.lit(False).alias("recursive"), F.col("_f.fields").alias("fields"), F.col("_p.places").alias("places")))
-        if new.isEmpty():
+        laid = waiting.filter(is_ready).withColumn("_f", _fields(F.col("tokens"), F.col("known"))).withColumn("_p", _placed(F.col("_f.fields"), F.col("packed")))
+        done.append(materialize(laid.select(*keys, "packed", F.col("_p.size").alias("size"), F.col("_p.align").alias("align"), (F.col("_p.size") - total).alias("padding"), (F.col("_f.complete") & ~F.col("opaque")).alias("complete"), F.lit(False).alias("recursive"), F.col("_f.fields").alias("fields"), F.col("_p.places").alias("places"))))
+        if done[-1].isEmpty():
             break
-        done = new if done is None else done.unionByName(new)
-        known = new if known is None else known.unionByName(new)
-        laid_out = new.select("module_id", F.col("name").alias("ref"))
-        still = materialize(waiting.join(new.select(*keys), keys, "left_anti"))
-        open_uses = materialize(open_uses.join(laid_out, ["module_id", "ref"], "left_anti"))
+        part = done[-1].select("module_id", F.col("name").alias("ref"), F.struct("size", "align", "complete").alias("layout"))
+        sent = uses.join(part, ["module_id", "ref"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ref", "layout"))).alias("_sent"))
+        still = materialize(waiting.filter(~is_ready).join(sent, keys, "left").withColumn("known", F.when(F.col("_sent").isNull(), F.col("known")).otherwise(F.map_concat("known", "_sent"))).drop("_sent"))
         release(waiting)
         waiting = still
-    none = new if done is None else done
-    left = waiting.select(*keys, "packed", *[F.lit(None).cast("long").alias(c) for c in ("size", "align", "padding")], F.lit(False).alias("complete"), F.lit(True).alias("recursive"), F.lit(None).cast(none.schema["fields"].dataType).alias("fields"), F.lit(None).cast(none.schema["places"].dataType).alias("places"))
-    return none.unionByName(left)
+    none = done[0]
+    left = waiting.select(*keys, "packed", *[F.lit(None).cast("long").alias(c) for c in ("size", "align", "padding")], F.lit(False).alias("complete"), F.lit(True).alias("recursive"), *[F.lit(None).cast(none.schema[c].dataType).alias(c) for c in ("fields", "places")])
+    return reduce(DataFrame.unionByName, done, left)
 
 
 def findings(laid: DataFrame) -> DataFrame:
