@@ -121,7 +121,11 @@ MODULE_JSON = "module_id string, target_triple string, functions array<struct<na
 
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Functions, instructions, calls and control-flow edges of modules in JSON, one or more objects a file."""
-    rows = spark.read.schema(MODULE_JSON).json(path, multiLine=True)
+    return tables(spark.read.schema(MODULE_JSON).json(path, multiLine=True))
+
+
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The same from rows of the schema ``MODULE_JSON``."""
     f = rows.select("module_id", F.explode("functions").alias("f"))
     blocks = f.select("module_id", F.col("f.name").alias("func"), F.posexplode("f.blocks").alias("block_no", "b"))
     inst = blocks.select("module_id", "func", "block_no", F.col("b.label").alias("label"), F.posexplode("b.instructions").alias("i", "x")).withColumn("inst_idx", F.row_number().over(Window.partitionBy("module_id", "func").orderBy("block_no", "i")))
