@@ -47,19 +47,19 @@ FORMS = [
     ("%v%0 = load ptr, ptr %s", "Load", "load", "%v%0", None, ["%s"], None),
     ("store ptr %p, ptr %s", "Store", "store", None, None, ["%p", "%s"], None),
 ]
-K = len(FORMS)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, forms: list[tuple] = FORMS) -> DataFrame:
     """The modules' text, line by line, as the IR source reads it."""
+    k = len(forms)
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     own = read(spark, sf_dir, "lineitem").select("l_orderkey", number.alias("r"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     two = F.array(
-        F.struct((2 * F.col("r") - 1).alias("n"), (F.col("a") % K).alias("k"), (F.col("b") % 8 + 1).alias("x"), (F.col("a") % 7 + 1).alias("y")),
-        F.struct((2 * F.col("r")).alias("n"), ((F.floor(F.col("a") / K) + F.col("b")) % K).alias("k"), (F.col("a") % 8 + 1).alias("x"), (F.col("b") % 7 + 1).alias("y")),
+        F.struct((2 * F.col("r") - 1).alias("n"), (F.col("a") % k).alias("k"), (F.col("b") % 8 + 1).alias("x"), (F.col("a") % 7 + 1).alias("y")),
+        F.struct((2 * F.col("r")).alias("n"), ((F.floor(F.col("a") / k) + F.col("b")) % k).alias("k"), (F.col("a") % 8 + 1).alias("x"), (F.col("b") % 7 + 1).alias("y")),
     )
     made = own.select(F.concat(F.lit("m"), "l_orderkey").alias("module_id"), F.explode(two).alias("i")).select("module_id", "i.*")
-    text = F.element_at(F.array(*[F.lit(t) for t, *_ in FORMS]), (F.col("k") + 1).cast("int"))
+    text = F.element_at(F.array(*[F.lit(t) for t, *_ in forms]), (F.col("k") + 1).cast("int"))
     for mark, value in (("%0", "n"), ("%1", "x"), ("%2", "y")):
         text = F.replace(text, F.lit(mark), F.col(value).cast("string"))
     frame = made.select("module_id").distinct()
@@ -81,12 +81,17 @@ def _filled(x: str) -> str:
     return f"replace(replace(replace({x}, '%0', CAST(n AS VARCHAR)), '%1', CAST(x AS VARCHAR)), '%2', CAST(y AS VARCHAR))"
 
 
-#: The same instructions as rows; h is a function's number.
-SQL = f"""form(k, kind, opcode, dest, callee, ops, how) AS (VALUES {", ".join(f"({i}, " + ", ".join(_sql(v) for v in f[1:]) + ")" for i, f in enumerate(FORMS))}),
+def rows_sql(forms: list[tuple]) -> str:
+    """The same instructions as rows; h is a function's number."""
+    k = len(forms)
+    return f"""form(k, kind, opcode, dest, callee, ops, how) AS (VALUES {", ".join(f"({i}, " + ", ".join(_sql(v) for v in f[1:]) + ")" for i, f in enumerate(forms))}),
 own AS (SELECT l_orderkey AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, l_partkey AS a, l_suppkey AS b FROM lineitem),
-two AS (SELECT h, 2 * r - 1 AS n, a % {K} AS k, b % 8 + 1 AS x, a % 7 + 1 AS y FROM own UNION ALL SELECT h, 2 * r, (a // {K} + b) % {K}, a % 8 + 1, b % 7 + 1 FROM own),
+two AS (SELECT h, 2 * r - 1 AS n, a % {k} AS k, b % 8 + 1 AS x, a % 7 + 1 AS y FROM own UNION ALL SELECT h, 2 * r, (a // {k} + b) % {k}, a % 8 + 1, b % 7 + 1 FROM own),
 i AS MATERIALIZED (SELECT h, n, kind, opcode, {_filled("dest")} AS dest, callee, list_transform(ops, lambda o: {_filled("o")}) AS ops, how, kind = 'Call' AND callee = 'free' AS rel, kind = 'Call' AND callee IN ('free', 'malloc') AS mem FROM two JOIN form USING (k)),
 j AS MATERIALIZED (SELECT *, ops[1] AS o0, ops[2] AS o1, kind = 'Store' AND ops[1] = 'null' AS nul FROM i)"""
+
+
+SQL = rows_sql(FORMS)
 _NAME = "'m' || h AS module_id, 'fn' || h AS func"
 
 
