@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewater.llm.similarity import Block, Order, Shingler, Threshold, bits_apart, close_pairs, components, parity, similarity_join
+from tidewater.llm.similarity import WIDER, Block, Order, Shingler, Threshold, bits_apart, close_pairs, components, parity, similarity_join
 
 
 def words_of(text):
@@ -85,13 +85,15 @@ def test_prefixes_and_bitmaps_lose_no_link(t):
     assert linked > 200
 
 
-def test_close_pairs_equal_all_pairs():
+@pytest.mark.parametrize("wider", [1, WIDER])
+def test_close_pairs_equal_all_pairs(wider):
     rng, t = np.random.default_rng(6), Threshold(4, 5)
     sets = [s for size in (60, 64, 66, 70, 130) for _ in range(12) for s in near_sets(rng, t, size)]
-    frame = pd.DataFrame({"doc_id": np.arange(len(sets)), "n": [len(s) for s in sets], "component": np.arange(len(sets)) // 3, "bitmap": [parity(s) for s in sets]})
+    frame = pd.DataFrame({"doc_id": np.arange(len(sets)), "n": [len(s) for s in sets], "component": np.arange(len(sets)) // 3, "bitmap": [parity(s, 0, wider) for s in sets]})
     got = set(map(tuple, close_pairs(frame[:50], frame, t, False).to_numpy()))
-    want = {(i, j, len(sets[j])) for i in range(50) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and t.a * max(len(sets[i]), len(sets[j])) <= t.b * min(len(sets[i]), len(sets[j])) and bits_apart(parity(sets[i]), parity(sets[j])) <= t.apart(len(sets[i]), len(sets[j]))}
-    assert got == want and len(want) > 3
+    want = {(i, j, len(sets[j])) for i in range(50) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and t.a * max(len(sets[i]), len(sets[j])) <= t.b * min(len(sets[i]), len(sets[j])) and bits_apart(parity(sets[i], 0, wider), parity(sets[j], 0, wider)) <= t.apart(len(sets[i]), len(sets[j]))}
+    linked = {(i, j, len(sets[j])) for i in range(50) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and t.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert linked <= got == want and len(want) > 3
     # a forest connects the same components with fewer pairs
     few = set(map(tuple, close_pairs(frame[:50], frame, t, True).to_numpy()))
     assert few <= want and joined(few, len(sets)) == joined(want, len(sets))

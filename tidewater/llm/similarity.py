@@ -34,6 +34,8 @@ FEW = 40
 OPEN_ROWS, ALL_ROWS = 512, 8192
 #: Bits of the short bitmap that goes with a set to each of its prefix shingles; a multiple of 64 and a power of two.
 SKETCH = 256
+#: How many times longer the bitmaps are by which whatever large groups still leave open is compared in the end.
+WIDER = 8
 #: Groups of up to so many sets are searched for sets without a near one; those of larger groups all stay.
 LONELY = 4096
 #: A shingle counts as frequent from so many texts on; so many frequent ones are kept (they only order the sets), and the group
@@ -164,10 +166,11 @@ class Order:
         return s[order], int((level[order] == 64).sum())
 
 
-def parity(s: np.ndarray, slots: int = 0) -> bytes:
-    """A bit for each of a power of two of slots, one to two a shingle: whether an odd number of shingles falls into it. Two sets
-    differ in as many shingles, at least, as their bitmaps differ in bits; sets that are alike differ in hardly more."""
-    slots = slots or 1 << max(6, int(len(s) - 1).bit_length())
+def parity(s: np.ndarray, slots: int = 0, wider: int = 1) -> bytes:
+    """A bit for each of a power of two of slots, one to two a shingle, or ``wider`` times as many: whether an odd number of
+    shingles falls into it. Two sets differ in as many shingles, at least, as their bitmaps differ in bits; sets that are alike
+    differ in hardly more."""
+    slots = slots or wider << max(6, int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & _U(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -594,15 +597,28 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         side = found.select(F.col("node").alias(node), F.col("component").alias("_c"))
         return df.join(side, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
+    def widened(which: DataFrame) -> DataFrame:
+        """doc_id, n and a long bitmap of some sets, from their texts."""
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingles = Shingler(words)
+            for pdf in batches:
+                sets = [shingles(text) for text in pdf.text]
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "n": [len(s) for s in sets], "bitmap": [parity(s, 0, WIDER) for s in sets]})
+
+        return named.join(bounded_broadcast(which.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(again, "doc_id long, n long, bitmap binary")
+
     def in_cells(forest: bool) -> DataFrame | None:
-        """Near pairs in large groups: sets outside a group's main component against all of the group, dealt into cells."""
+        """Near pairs in large groups: sets outside a group's main component against all of the group, dealt into cells. What no
+        forest has connected is compared by long bitmaps, as the short ones leave too many pairs of such sets to be searched."""
         placed = materialize(with_component(large, "doc_id", "component"))
         per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         groups = per.groupBy("key").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         groups = materialize(groups.select("key", "rows", F.col("top.component").alias("main"), (F.col("rows") - F.col("top.m")).alias("open")))
         if groups.isEmpty():
             return None
-        spread = split_join(placed, groups, ["key"]).join(bitmaps.select("doc_id", "bitmap", "n"), ["doc_id", "n"])
+        spread = split_join(placed, groups, ["key"])
+        spread = spread.join(bitmaps.select("doc_id", "bitmap", "n") if forest else materialize(widened(spread)).distinct(), ["doc_id", "n"])
         mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
         spread = spread.withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
         # the open sets of a group of one cell are in it once, for both sides
