@@ -207,3 +207,39 @@ def test_no_link_is_lost_over_many_seeds(spark):
                     root = {k: low if v == high else v for k, v in root.items()}
         want += [(i, len(x), root[i]) for i, x in group]
     assert sorted(map(tuple, similarity_join(frame).collect())) == sorted(want)
+
+
+def test_shingles_that_stand_once_in_each_partition_are_counted(spark):
+    from tidewater.llm.similarity import _LOW, _PACKED, _frequent, _summed
+
+    texts = spark.createDataFrame([(f"the same three x{i} y{i} z{i}",) for i in range(40)], "text string").repartition(40)
+    assert texts.rdd.getNumPartitions() == 40
+    counted = texts.mapInPandas(_frequent(3, Threshold(0, 1), 8), _PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_summed(32), "shingle long, n long")
+    assert [tuple(r) for r in counted.collect()] == [(int(Shingler(3)("the same three")[0] & _LOW), 40)]
+
+
+def test_packed_shingles_come_back_in_few_bytes():
+    from tidewater.llm.similarity import mixed, packed, unpacked
+
+    shingle = mixed(np.arange(1, 200_001, dtype=np.uint64))
+    doc, number = np.arange(200_000) // 46 + 10**12, np.arange(200_000) % 46 + (300 << 32)
+    frame = packed(shingle, 8, number, doc)
+    assert sum(frame[c].str.len().sum() for c in ("keys", "numbers", "docs")) < 9 * len(shingle)
+    back = [np.concatenate(x) for x in zip(*unpacked(iter([frame[:3], frame[3:]])))]
+    low, bucket = shingle & np.uint64((1 << 40) - 1), (shingle >> np.uint64(40)) % np.uint64(8)
+    want = zip((low | bucket << np.uint64(40)).tolist(), number.tolist(), doc.tolist())
+    assert sorted(zip(*(x.tolist() for x in back))) == sorted(want)
+
+
+def test_places_leave_out_pairs_but_no_link():
+    from tidewater.llm.similarity import meeting, mixed
+
+    t, rng = Threshold(9, 10), np.random.default_rng(8)
+    base = [mixed(rng.integers(1, 1 << 60, 200).astype(np.uint64)) for _ in range(8)]
+    everywhere = np.array([0.052 * 2**64]).astype(np.uint64)
+    sets = [np.unique(np.concatenate([b[k:], everywhere, mixed(rng.integers(1, 1 << 60, k).astype(np.uint64))])) for b in base for k in (0, 4, 9, 18)]
+    rows = sorted((int(k), len(s), d, i) for d, s in enumerate(sets) for i, k in enumerate(s[: t.prefix(len(s))[0]] >> np.uint64(1)))
+    key, n, doc, place = (np.array(x) for x in zip(*rows))
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if t.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    plain, placed = (set(map(tuple, meeting(key, n, doc, place < t.prefix(n)[1], None, t, 40, p)[0][:, :2])) for p in (None, place))
+    assert linked <= placed <= plain and len(placed) < len(plain)

@@ -2,10 +2,11 @@
 
 1. Every whole text becomes a set of 64-bit shingle hashes; identical sets collapse to one representative.
 2. All sets are ordered alike: rare shingles first, then by hash. Linked sets share one of their first shingles (prefix filter),
-   so sets meet by those. Which shingles are frequent is counted over all texts; a wrong count costs time, never a link.
-3. Of sets that share a prefix shingle, few are paired with each other; of many, each is first paired with one of its size.
-   Pairs whose parity bitmaps differ in more bits than linked sets can differ in shingles are no links: short bitmaps say so where
-   sets meet, long ones for the pairs left. A set of a large group without a near one by the short bitmaps leaves that group.
+   so sets meet by those. Which shingles are frequent is counted over all texts, those at the head of the sets exactly; a wrong
+   count costs time, never a link.
+3. Prefix shingles travel as five bytes each, packed by the bucket where they meet, without bitmaps: most meet no other set.
+   Of sets that share one, few are paired with each other; of many, each is first paired with one of its size. Pairs whose parity
+   bitmaps differ in more bits than linked sets can differ in shingles are no links.
 4. What is left is searched: one set against the inverted lists of its partners. Short lists are merged and counted, the longest
    are only probed by binary search for what the short ones left (DivideSkip). A merge here is one sort or count of the
    concatenated lists, as numpy does that faster than a heap.
@@ -15,6 +16,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize, release, ship, split_join
+from tidewater.spark import bounded_broadcast, materialize, release, ship, shuffle_partitions, split_join
 
 #: Shingles of one task's search: the partners of a set are dealt into chunks of about this many.
 BLOCK_SHINGLES = 500_000
@@ -32,7 +34,7 @@ BLOCK_SHINGLES = 500_000
 FEW = 40
 #: Rows of a cell in which sets of a large group are compared by their bitmaps: undecided ones, and all.
 OPEN_ROWS, ALL_ROWS = 512, 8192
-#: Bits of the short bitmap that goes with a set to each of its prefix shingles; a multiple of 64 and a power of two.
+#: Bits of a short bitmap of a set; a multiple of 64 and a power of two.
 SKETCH = 256
 #: How many times longer the bitmaps are by which whatever large groups still leave open is compared in the end.
 WIDER = 8
@@ -43,8 +45,12 @@ LONELY = 4096
 FREQUENT, MOST_FREQUENT, BUSY = 32, 200_000, 4096
 #: Weight of the probes in DivideSkip's choice of how many lists are long.
 MU = 0.02
+#: Prefix shingles that a task packs at once.
+PACKED = 1_000_000
 
 _U = np.uint64
+#: What of a shingle is counted and packed: its low bits; the others choose the bucket.
+_LOW = _U((1 << 40) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -144,15 +150,17 @@ class Threshold:
 
 
 class Order:
-    """The order that all sets share: frequent shingles last, those by the logarithm of their count, and all by hash."""
+    """The order that all sets share: frequent shingles last, those by the logarithm of their count, and all by hash. Frequent ones
+    may be given by some of their bits, as ``mask`` says."""
 
-    def __init__(self, shingle: np.ndarray, count: np.ndarray, busy: int = BUSY):
-        order = np.argsort(shingle)
+    def __init__(self, shingle: np.ndarray, count: np.ndarray, busy: int = BUSY, mask: np.uint64 = _U((1 << 64) - 1)):
+        order, self.mask = np.argsort(shingle), mask
         self.shingle, self.level = shingle[order], np.where(count[order] > busy, 64, np.log2(count[order]).astype(np.int64) + 1)
 
     def levels(self, s: np.ndarray) -> np.ndarray:
         if not len(self.shingle):
             return np.zeros(len(s), dtype=np.int64)
+        s = s & self.mask
         at = np.searchsorted(self.shingle, s)
         at[at == len(self.shingle)] = 0
         return np.where(self.shingle[at] == s, self.level[at], 0)
@@ -244,9 +252,11 @@ def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold,
     return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64), columns=["a", "b", "nb"])
 
 
-def near_rows(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Which pairs of rows the short bitmaps don't tell apart."""
-    out = np.empty(len(left), dtype=bool)
+def near_rows(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketch: np.ndarray | None, threshold: Threshold) -> np.ndarray:
+    """Which pairs of rows the short bitmaps don't tell apart; without bitmaps, all."""
+    out = np.ones(len(left), dtype=bool)
+    if sketch is None:
+        return out
     for at in range(0, len(left), 100_000):
         i, j = left[at : at + 100_000], right[at : at + 100_000]
         out[at : at + 100_000] = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= threshold.apart(n[i], n[j])
@@ -263,12 +273,14 @@ def accompanied(rows: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold:
     return out
 
 
-def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, sketch: np.ndarray, threshold: Threshold, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, sketch: np.ndarray | None, threshold: Threshold, few: int = FEW, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """What sets with a common prefix shingle lead to: pairs (a, b, size of b), and the rows of large groups.
 
     Rows are sorted by key, then by size and id, and hold whole groups; ``head`` says that the shingle is among those that
     the set shares with a linked set that is no smaller. In a large group a set is paired with the smallest one of its size class.
-    Pairs, and rows of large groups, that the short bitmaps show to be no links, or to have none there, are left out."""
+    ``place`` is where the shingle stands in the set: a pair of a small group is left out where too few shingles follow for it to be
+    the first one that linked sets share, as it meets at that one too.
+    Pairs, and rows of large groups, that short bitmaps (if given) show to be no links, or to have none there, are left out."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
     large = np.repeat(size > few, size)
@@ -278,6 +290,9 @@ def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, s
     right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest)
     fit = (threshold.a * n[right] <= threshold.b * n[left]) & (doc[left] != doc[right])
     left, right = left[fit], right[fit]
+    if place is not None:
+        fit = threshold.linked(np.minimum(n[left] - place[left], n[right] - place[right]), n[left], n[right])
+        left, right = left[fit], right[fit]
     fit = near_rows(left, right, n, sketch, threshold)
     pairs = [np.column_stack([left[fit], right[fit]])]
     for k in np.flatnonzero(size > few):
@@ -291,7 +306,7 @@ def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, s
             met[others - start] = True
             met[at - start] = len(others) > 0
             at = end
-        if size[k] <= LONELY:
+        if sketch is not None and size[k] <= LONELY:
             alone = np.flatnonzero(~met)
             alone = alone[~accompanied(alone, n[start:stop], sketch[start:stop], threshold)]
             large[start + alone] = False
@@ -389,33 +404,106 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _frequent(words: int, most: int = 1_000_000):
-    """Shingles that several texts of a partition hold, with how many, from a summary of bounded size: when it is full, each
-    count goes down by the least there is, so counts are never too high."""
+def _short(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, compressed; like bytes of neighbours stand side by side."""
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def _long(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def packed(shingle: np.ndarray, buckets: int, number: np.ndarray, doc: np.ndarray | None = None) -> pd.DataFrame:
+    """Shingles dealt by bucket, a row each: five bytes of every shingle, and with each a whole number and a doc_id, if given."""
+    bucket = ((shingle >> _U(40)) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, number = bucket[order], number[order].astype("<i8")
+    low = np.ascontiguousarray(shingle[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
+    at = list(zip(edge[:-1], edge[1:], strict=True))
+    docs = [b""] * len(at) if doc is None else [_short(np.diff(doc[order[i:j]].astype("<i8"), prepend=0)) for i, j in at]
+    return pd.DataFrame({"bucket": bucket[edge[:-1]], "keys": [low[i:j].tobytes() for i, j in at], "numbers": [_short(number[i:j]) for i, j in at], "docs": docs})
+
+
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each bucket of rows sorted by bucket: keys (the five bytes, and the bucket), numbers and doc_ids."""
+    for pdf in _whole_runs(batches, "bucket", 1):
+        bucket = pdf.bucket.to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            some = pdf[i:j]
+            low = np.frombuffer(b"".join(some["keys"]), np.uint8).reshape(-1, 5)
+            key = np.zeros((len(low), 8), np.uint8)
+            key[:, :5] = low
+            key = key.view("<u8").reshape(-1).astype(np.int64) | (int(bucket[i]) << 40)
+            doc = np.concatenate([np.cumsum(_long(d, "<i8")) if d else np.zeros(0, np.int64) for d in some["docs"]])
+            yield key, np.concatenate([_long(x, "<i8") for x in some["numbers"]]), doc
+
+
+_PACKED = "bucket int, keys binary, numbers binary, docs binary"
+
+
+def _counts(shingle: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values with their summed counts."""
+    order = np.argsort(shingle)
+    shingle, n = shingle[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, int)
+    return shingle[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _frequent(words: int, threshold: Threshold, buckets: int, most: int = 1_000_000):
+    """Packed shingles of a partition, each with how many of its texts hold it, as two kinds of rows: the first ones of each text in
+    the order of their hashes, counted exactly, as sets meet by those; and, with negative counts, any that several texts hold, from
+    a summary of bounded size: when it is full, each count goes down by the least there is, so counts are never too high."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, held, waiting, size = Shingler(words), (np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)), [], 0
+        heads, ahead = [], 0
 
         def merge(summary):
-            flat, n = np.concatenate([summary[0], *waiting]), np.concatenate([summary[1], np.ones(size, dtype=np.int64)])
-            order = np.argsort(flat)
-            flat, n = flat[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
-            flat, n = flat[first], np.add.reduceat(n, first) if len(first) else n
+            flat, n = _counts(np.concatenate([summary[0], *waiting]), np.concatenate([summary[1], np.ones(size, dtype=np.int64)]))
             while len(flat) > most:
                 n = n - n.min()
                 flat, n = flat[n > 0], n[n > 0]
             return flat, n
 
+        def counted_heads() -> pd.DataFrame:
+            flat = np.concatenate([np.zeros(0, dtype=_U), *heads])
+            flat, n = _counts(flat, np.ones(len(flat), dtype=np.int64))
+            return packed(flat, buckets, n)
+
         for pdf in batches:
             for text in pdf.text:
-                waiting.append(shingles(text))
-                size += len(waiting[-1])
+                s = shingles(text)
+                waiting.append(s)
+                size += len(s)
+                heads.append(s[: threshold.prefix(len(s))[0]].copy() if len(s) else s)
+                ahead += len(heads[-1])
                 if size > most // 2:
                     held, waiting, size = merge(held), [], 0
+                if ahead > PACKED:
+                    yield counted_heads()
+                    heads, ahead = [], 0
+        yield counted_heads()
         flat, n = merge(held)
         several = n > 1
-        yield pd.DataFrame({"shingle": _signed(flat[several]), "n": n[several]})
+        yield packed(flat[several], buckets, -n[several])
+
+    return run
+
+
+def _summed(frequent: int):
+    """Which packed shingles at least so many texts hold, by what is counted exactly or by the summaries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, n, _ in unpacked(batches):
+            exact, some = _counts(key[n > 0], n[n > 0]), _counts(key[n < 0], -n[n < 0])
+            shingle, n = np.concatenate([exact[0], some[0]]), np.concatenate([exact[1], some[1]])
+            order = np.lexsort((-n, shingle))
+            shingle, n = shingle[order], n[order]
+            keep = np.concatenate([[True], shingle[1:] != shingle[:-1]]) & (n >= frequent)
+            yield pd.DataFrame({"shingle": shingle[keep] & int(_LOW), "n": n[keep]})
 
     return run
 
@@ -454,9 +542,10 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     ship(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     named = lean.filter(F.col("doc_id").isNotNull())
-    counted = named.select("text").mapInPandas(_frequent(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= frequent).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
-    common = Order(top.shingle.to_numpy("int64").view(_U), top.n.to_numpy("int64"), busy)
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    counted = named.select("text").mapInPandas(_frequent(words, threshold, buckets), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    top = counted.mapInPandas(_summed(frequent), "shingle long, n long").orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas()
+    common = Order(top.shingle.to_numpy("int64").view(_U), top.n.to_numpy("int64"), busy, _LOW)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
@@ -466,15 +555,14 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
                 for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                     s = shingles(text)
                     if not len(s):
-                        rows.append((doc_id, 0, 0, 0, 0, 0, b"", b"", b""))
+                        rows.append((doc_id, 0, 0, 0, 0, b"", b""))
                         continue
                     both = np.array([mixed(s).sum(dtype=_U), mixed(s ^ _U(0x5BD1E995)).sum(dtype=_U)])
-                    probe, head = threshold.prefix(len(s))
-                    keys, often = common.first(s, probe)
-                    rows.append((doc_id, len(s), *map(int, _signed(both)), head, often, keys.tobytes(), parity(s, SKETCH), parity(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "head", "busy", "keys", "sketch", "bitmap"]).astype({"doc_id": "Int64"})
+                    keys, often = common.first(s, threshold.prefix(len(s))[0])
+                    rows.append((doc_id, len(s), *map(int, _signed(both)), often, keys.tobytes(), parity(s)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "busy", "keys", "bitmap"]).astype({"doc_id": "Int64"})
 
-    made = "doc_id long, n long, h1 long, h2 long, head int, busy int, keys binary, sketch binary, bitmap binary"
+    made = "doc_id long, n long, h1 long, h2 long, busy int, keys binary, bitmap binary"
     signed = materialize(named.mapInPandas(signatures, made))
     same = ["n", "h1", "h2"]
     rep = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
@@ -483,39 +571,56 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     rest = materialize(copies.filter("n > 0 and doc_id != rep").select("doc_id", *same).distinct())
     own = signed.filter("n > 0").join(bounded_broadcast(rest), ["doc_id", *same], "left_anti")
 
-    words_of_sketch = [f"s{i}" for i in range(SKETCH // 64)]
-
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, held = [], 0
+
+        def dealt_out() -> pd.DataFrame:
+            length = np.array([len(k[0]) for k in keys])
+            place = np.arange(held) - np.repeat(np.cumsum(length) - length, length)
+            doc, n = (np.repeat(np.array([k[i] for k in keys], dtype=np.int64), length) for i in (1, 2))
+            return packed(np.concatenate([k[0] for k in keys]), buckets, (n << 32) + place, doc)
+
+        for pdf in batches:
+            for doc_id, n, often, raw in zip(pdf.doc_id, pdf.n, pdf.busy, pdf["keys"], strict=True):
+                one = np.frombuffer(raw, dtype=_U)
+                keys.append((one[: len(one) - often], doc_id, n))
+                held += len(keys[-1][0])
+                if held > PACKED:
+                    yield dealt_out()
+                    keys, held = [], 0
+        if held:
+            yield dealt_out()
+
+    def emit_busy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                some = pdf[at : at + 1000]
-                length = some["keys"].str.len().to_numpy() // 8
-                place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                whole = lambda c: np.repeat(some[c].to_numpy("int64"), length)  # noqa: E731, B023
-                sketch = np.frombuffer(b"".join(some["sketch"]), dtype=np.int64).reshape(len(some), -1)
-                short = {name: np.repeat(sketch[:, i], length) for i, name in enumerate(words_of_sketch)}
-                yield pd.DataFrame({"key": np.frombuffer(b"".join(some["keys"]), dtype=np.int64), "n": whole("n"), "doc_id": whole("doc_id"), "head": place < whole("head"), "busy": place >= np.repeat(length, length) - whole("busy"), **short})
+            often = pdf.busy.to_numpy("int64")
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(k[len(k) - 8 * o :] for k, o in zip(pdf["keys"], often, strict=True)), dtype=np.int64), "n": np.repeat(pdf.n.to_numpy(), often), "doc_id": np.repeat(pdf.doc_id.to_numpy("int64"), often)})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_runs(batches, "key"):
-            key, n, doc = (pdf[c].to_numpy() for c in ("key", "n", "doc_id"))
-            sketch = np.ascontiguousarray(pdf[words_of_sketch].to_numpy("int64")).view(_U)
-            pairs, large = meeting(key, n, doc, pdf["head"].to_numpy(), sketch, threshold, few)
-            yield pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "pair": True})
-            yield pd.DataFrame({"key": key[large], "a": doc[large], "b": np.zeros(len(large), dtype=np.int64), "n": n[large], "pair": False})
-
-    emitted = "key long, n long, doc_id long, head boolean, busy boolean, " + ", ".join(f"{c} long" for c in words_of_sketch)
-    rows = own.select("doc_id", "n", "head", "busy", "keys", "sketch").mapInPandas(emit, emitted)
-    dealt = rows.filter("not busy").repartition("key").sortWithinPartitions("key", "n", "doc_id")
-    met = materialize(dealt.mapInPandas(meet, "key long, a long, b long, n long, pair boolean"))
+        for key, number, doc in unpacked(batches):
+            order = np.lexsort((doc, number >> 32, key))
+            key = key[order]
+            alike = key[1:] == key[:-1]
+            several = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])  # most shingles are of one set alone
+            order, key = order[several], key[several]
+            doc, n, place = doc[order], number[order] >> 32, number[order] & 0xFFFFFFFF
+            if len(key):
+                pairs, large = meeting(key, n, doc, place < threshold.prefix(n)[1], None, threshold, few, place)
+                yield pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "pair": True})
+                yield pd.DataFrame({"key": key[large], "a": doc[large], "b": np.zeros(len(large), dtype=np.int64), "n": n[large], "pair": False})
+
+    rows = own.select("doc_id", "n", "busy", "keys").mapInPandas(emit, _PACKED)
+    met = materialize(rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "key long, a long, b long, n long, pair boolean"))
     large = met.filter("not pair").select("key", F.col("a").alias("doc_id"), "n")
     pairs = met.filter("pair").select("a", "b", F.col("n").alias("nb"))
     if not signed.filter("busy > 0").isEmpty():
         # busy groups: the smallest set of each size class comes from a partial aggregation, and its partners stay where they are
-        often = rows.filter("busy").select("key", "n", "doc_id", F.floor(F.log(F.col("n")) / float(np.log(threshold.b / threshold.a))).alias("size"))
+        often = own.filter("busy > 0").select("doc_id", "n", "busy", "keys").mapInPandas(emit_busy, "key long, n long, doc_id long")
+        often = often.select("key", "n", "doc_id", F.floor(F.log(F.col("n")) / float(np.log(threshold.b / threshold.a))).alias("size"))
         firsts = often.groupBy("key", "size").agg(F.min("doc_id").alias("a"))
         star = split_join(often, firsts, ["key", "size"]).filter("a != doc_id").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        large, pairs = large.unionByName(often.select("key", "doc_id", "n")), pairs.unionByName(star)
+        # the other groups' keys, of five bytes and a bucket, are never negative
+        large, pairs = large.unionByName(often.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "doc_id", "n")), pairs.unionByName(star)
     bitmaps = own.select("doc_id", "n", "bitmap")
 
     def near(candidates: DataFrame) -> DataFrame:
