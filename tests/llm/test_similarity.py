@@ -243,3 +243,53 @@ def test_places_leave_out_pairs_but_no_link():
     linked = {(i, j) for j in range(len(sets)) for i in range(j) if t.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
     plain, placed = (set(map(tuple, meeting(key, n, doc, place < t.prefix(n)[1], None, t, 40, p)[0][:, :2])) for p in (None, place))
     assert linked <= placed <= plain and len(placed) < len(plain)
+
+
+def test_rows_of_a_group_grow_with_its_sets_not_with_their_pairs(spark, monkeypatch):
+    from tidewater.llm import similarity
+
+    made, written = [], similarity.materialize
+
+    def counting(df, *by):
+        out = written(df, *by)
+        if "pair" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counting)
+    passage = " ".join(f"p{i}" for i in range(12))
+    for sets in (10, 30):  # 30: still fewer than make a shingle frequent, or a group large
+        data = [(i, " ".join([*(f"o{i}w{k}" for k in range(30)), passage])) for i in range(sets)] + [(900, "o3w1 " + " ".join([*(f"o3w{k}" for k in range(30)), passage]))]
+        got = similarity_join(spark.createDataFrame(data, "doc_id long, text string"), 3, Threshold(1, 2)).collect()
+        assert sorted(map(tuple, got), key=repr) == brute(data, 3, 1, 2)
+    assert made[1] < 4 * made[0]  # their pairs are nine times as many
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_components_of_forests_of_several_tasks(spark, at_once):
+    rng = np.random.default_rng(at_once)
+    pairs = [tuple(map(int, p)) for p in rng.integers(-40, 40, (30, 2)) * 3]
+    root = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(pairs, "a long, b long").repartition(5), at_once).collect()}
+    assert got == {x: root[x] for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_shingles_of_the_same_sets_make_one_group():
+    from tidewater.llm.similarity import members
+
+    key, doc, n = (np.array(x) for x in ([3, 3, 3, 5, 5, 8, 8, 8], [1, 2, -9, 1, 2, -9, 1, 2], [7, 7, 8, 7, 7, 8, 7, 7]))
+    groups = members(key, doc, n)
+    assert sorted(len(groups[groups[:, 0] == k]) for k in set(groups[:, 0])) == [2, 3] and (groups[:, 0] >= 0).all()
+    assert {tuple(r[1:]) for r in groups.tolist()} == {(1, 7), (2, 7), (-9, 8)} and members(key[:0], doc[:0], n[:0]).shape == (0, 3)
+
+
+def test_few_pairs_of_a_cell_come_all():
+    rng, t = np.random.default_rng(6), Threshold(4, 5)
+    sets = [s for size in (60, 66, 130) for _ in range(6) for s in near_sets(rng, t, size)]
+    frame = pd.DataFrame({"doc_id": np.arange(len(sets)), "n": [len(s) for s in sets], "component": np.arange(len(sets)), "bitmap": [parity(s) for s in sets]})
+    every, some = close_pairs(frame, frame, t, False), close_pairs(frame, frame, t, True, 1)
+    assert close_pairs(frame, frame, t, True, 2 * len(every)).equals(every) and close_pairs(frame, frame, t, True, 2 * len(every)).attrs["all"]
+    assert not some.attrs["all"] and len(some) <= len(every) and set(map(tuple, some.to_numpy())) <= set(map(tuple, every.to_numpy()))

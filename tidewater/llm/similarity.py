@@ -5,13 +5,15 @@
    so sets meet by those. Which shingles are frequent is counted over all texts, those at the head of the sets exactly; a wrong
    count costs time, never a link.
 3. Prefix shingles travel as five bytes each, packed by the bucket where they meet, without bitmaps: most meet no other set.
-   Of sets that share one, few are paired with each other; of many, each is first paired with one of its size. Pairs whose parity
-   bitmaps differ in more bits than linked sets can differ in shingles are no links.
+   Sets that share one are paired with each other where that makes no more rows than a few a set; else each is first paired with
+   one of its size, and the group is kept, once for all shingles with the same sets, so rows grow with the sets of a group, not
+   with their pairs. Pairs whose parity bitmaps differ in more bits than linked sets can differ in shingles are no links.
 4. What is left is searched: one set against the inverted lists of its partners. Short lists are merged and counted, the longest
    are only probed by binary search for what the short ones left (DivideSkip). A merge here is one sort or count of the
    concatenated lists, as numpy does that faster than a heap.
-5. Links become components by alternating large-star and small-star steps. Only pairs that still lie in different components
-   are looked at again, those of large groups too, so every pair that shares a prefix shingle is decided.
+5. Links become components by alternating large-star and small-star steps, after each task has made a forest of a bounded number
+   of them. Only pairs that still lie in different components are looked at again, those of large groups too, so every pair that
+   shares a prefix shingle is decided.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.text import table
-from tidewater.spark import bounded_broadcast, materialize, release, ship, shuffle_partitions, split_join
+from tidewater.spark import BROADCAST_ROWS, bounded_broadcast, materialize, release, ship, shuffle_partitions, split_join
 
 #: Shingles of one task's search: the partners of a set are dealt into chunks of about this many.
 BLOCK_SHINGLES = 500_000
-#: Sets with a common prefix shingle that are all paired with each other; of more, each is paired with one of its size first.
-FEW = 40
+#: Sets with a common prefix shingle that are all paired with each other; of more, each is paired with one of its size first. So it is
+#: with fewer, where more pairs than these a set are left.
+FEW, PAIRS_A_SET = 40, 2
 #: Rows of a cell in which sets of a large group are compared by their bitmaps: undecided ones, and all.
 OPEN_ROWS, ALL_ROWS = 512, 8192
 #: Bits of a short bitmap of a set; a multiple of 64 and a power of two.
@@ -47,6 +50,8 @@ FREQUENT, MOST_FREQUENT, BUSY = 32, 200_000, 4096
 MU = 0.02
 #: Prefix shingles that a task packs at once.
 PACKED = 1_000_000
+#: Links of which a task makes a forest at once.
+FOREST = 200_000
 
 _U = np.uint64
 #: What of a shingle is counted and packed: its low bits; the others choose the bucket.
@@ -215,10 +220,12 @@ def _join(root: dict[int, int], x: int, y: int) -> bool:
     return x != y
 
 
-def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold, forest: bool) -> pd.DataFrame:
+def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold, forest: bool, most: int = 0) -> pd.DataFrame:
     """Rows (a, b, nb) of an open set and another of a different component that sizes and bitmaps don't tell apart: all of them, or
-    only such that connect as much as all would, the nearest for each. Both frames have doc_id, n, component and bitmap."""
+    only such that connect as much as all would, the nearest for each. Both frames have doc_id, n, component and bitmap. Of up to
+    ``most`` pairs all come also where a forest would do; ``attrs["all"]`` says so."""
     out, mine, comp = [], open_.component.to_numpy().copy(), every.component.to_numpy().copy()
+    own, others, whole, held = mine.copy(), comp.copy(), [], 0
     n, ids, size, docs = every.n.to_numpy(), every.doc_id.to_numpy(), open_.n.to_numpy(), open_.doc_id.to_numpy()
     bitmap, bitmaps = open_.bitmap.to_numpy(), every.bitmap.to_numpy()
     width, widths = np.array([len(b) for b in bitmap]), np.array([len(b) for b in bitmaps])
@@ -231,12 +238,17 @@ def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold,
             step = max(1, 1_000_000 // y.size)
             for low in range(0, len(rows), step):
                 r = rows[low : low + step]
-                i, j = np.nonzero((mine[r, None] != comp[at]) & (threshold.a * np.maximum(n[at], size[r, None]) <= threshold.b * np.minimum(n[at], size[r, None])))
+                i, j = np.nonzero(((own[r, None] != others[at]) if held <= most else (mine[r, None] != comp[at])) & (threshold.a * np.maximum(n[at], size[r, None]) <= threshold.b * np.minimum(n[at], size[r, None])))
                 far = np.bitwise_count(y[j] ^ x[low + i]).sum(axis=1, dtype=np.int64)
                 i, j = r[i], at[j]
                 fit = far <= threshold.apart(n[j], size[i])
                 i, j, far = i[fit], j[fit], far[fit]
                 if forest and len(i):
+                    if held <= most:
+                        held += len(i)
+                        whole.append((i, j))
+                        apart = mine[i] != comp[j]
+                        i, j, far = i[apart], j[apart], far[apart]
                     near = np.argsort(far, kind="stable")
                     i, j = i[near], j[near]
                     edges = np.unique(np.column_stack([mine[i], comp[j]]), axis=0, return_index=True)[1]
@@ -248,8 +260,13 @@ def close_pairs(open_: pd.DataFrame, every: pd.DataFrame, threshold: Threshold,
                         label[:] = np.array([_root(root, int(v)) for v in value])[where]
                     i, j = i[keep], j[keep]
                 if len(i):
-                    out.append(np.column_stack([np.minimum(docs[i], ids[j]), np.maximum(docs[i], ids[j]), np.where(ids[j] > docs[i], n[j], size[i])]))
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64), columns=["a", "b", "nb"])
+                    out.append((i, j))
+    every_one = not forest or held <= most
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in ([p[k] for p in (whole if forest and every_one else out)] for k in (0, 1)))
+    rows = np.column_stack([np.minimum(docs[i], ids[j]), np.maximum(docs[i], ids[j]), np.where(ids[j] > docs[i], n[j], size[i])])
+    pairs = pd.DataFrame(np.unique(rows, axis=0), columns=["a", "b", "nb"])
+    pairs.attrs["all"] = every_one
+    return pairs
 
 
 def near_rows(left: np.ndarray, right: np.ndarray, n: np.ndarray, sketch: np.ndarray | None, threshold: Threshold) -> np.ndarray:
@@ -273,13 +290,14 @@ def accompanied(rows: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold:
     return out
 
 
-def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, sketch: np.ndarray | None, threshold: Threshold, few: int = FEW, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, sketch: np.ndarray | None, threshold: Threshold, few: int = FEW, place: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """What sets with a common prefix shingle lead to: pairs (a, b, size of b), and the rows of large groups.
 
     Rows are sorted by key, then by size and id, and hold whole groups; ``head`` says that the shingle is among those that
     the set shares with a linked set that is no smaller. In a large group a set is paired with the smallest one of its size class.
     ``place`` is where the shingle stands in the set: a pair of a small group is left out where too few shingles follow for it to be
-    the first one that linked sets share, as it meets at that one too.
+    the first one that linked sets share, as it meets at that one too. A small group with more than ``most`` pairs a row left, if
+    given, counts as a large one.
     Pairs, and rows of large groups, that short bitmaps (if given) show to be no links, or to have none there, are left out."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(edge)
@@ -294,8 +312,15 @@ def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, s
         fit = threshold.linked(np.minimum(n[left] - place[left], n[right] - place[right]), n[left], n[right])
         left, right = left[fit], right[fit]
     fit = near_rows(left, right, n, sketch, threshold)
-    pairs = [np.column_stack([left[fit], right[fit]])]
-    for k in np.flatnonzero(size > few):
+    left, right = left[fit], right[fit]
+    many = size > few
+    if most is not None:
+        group = np.searchsorted(edge, left, side="right") - 1
+        many |= np.bincount(group, minlength=len(size)) > most * size
+        large = np.repeat(many, size)
+        left, right = left[~many[group]], right[~many[group]]
+    pairs = [np.column_stack([left, right])]
+    for k in np.flatnonzero(many):
         start, stop = edge[k], edge[k + 1]
         at, met = start, np.zeros(size[k], dtype=bool)
         while at < stop:
@@ -316,6 +341,29 @@ def meeting(key: np.ndarray, n: np.ndarray, doc: np.ndarray, head: np.ndarray, s
     return np.unique(found[found[:, 0] != found[:, 1]], axis=0), np.flatnonzero(large)
 
 
+def members(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distinct rows (group, doc, n) of groups, given by sorted keys: shingles that hold the same sets make one group, as its number, of
+    63 bits, depends on the sets alone. Should two groups get one number, they are one larger group."""
+    if not len(key):
+        return np.zeros((0, 3), dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    with np.errstate(over="ignore"):
+        number = mixed(np.add.reduceat(mixed(doc.astype(_U)) ^ n.astype(_U), first)) >> _U(1)
+    return np.unique(np.column_stack([np.repeat(number.astype(np.int64), np.diff(np.append(first, len(key)))), doc, n]), axis=0)
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def gathered(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table, and whether it is small enough to be broadcast; then it comes as one partition, so that grouping it or joining
+    it with broadcasts takes no shuffle."""
+    small = fits(df)
+    return (df.coalesce(1) if small else df), small
+
+
 class Block:
     """Inverted lists over some sets, and T-occurrence search in them."""
 
@@ -374,10 +422,38 @@ class Block:
         return self.t.a + self.t.b
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node reachable. Alternates large-star and small-star
-    steps until nothing changes; every step is a partial minimum by node and a join, written to the shared folder. A step's
-    table goes when the next one is written."""
+def _forests(at_once: int):
+    """Of up to so many links at a time, the same components as stars: (a, b) for each node a but the smallest one, b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+
+        def stars() -> pd.DataFrame:
+            nodes, ends = np.unique(np.concatenate(held), return_inverse=True)
+            root: dict[int, int] = {}
+            for x, y in ends.reshape(-1, 2).tolist():
+                _join(root, x, y)
+            child = np.array(list(root), dtype=np.int64)
+            least = np.array([_root(root, x) for x in root], dtype=np.int64)
+            below = child != least
+            return pd.DataFrame({"a": nodes[child[below]], "b": nodes[least[below]]})
+
+        for pdf in batches:
+            held.append(pdf[["a", "b"]].to_numpy())
+            rows += len(pdf)
+            if rows >= at_once:
+                yield stars()
+                held, rows = [], 0
+        if rows:
+            yield stars()
+
+    return run
+
+
+def components(edges: DataFrame, at_once: int = FOREST) -> DataFrame:
+    """(node, component) for every node of the edges (a, b): the smallest node reachable. Tasks first make forests of up to
+    ``at_once`` edges. Where that takes more than one, large-star and small-star steps alternate until nothing changes; every step
+    is a partial minimum by node and a join, written to the shared folder. A step's table goes when the next one is written."""
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -390,9 +466,12 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.filter("a != b").distinct()
 
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b"))
+    tasks = -(-edges.count() // at_once)
+    before, edges = edges, materialize(edges.coalesce(max(1, tasks)).mapInPandas(_forests(at_once), "a long, b long"))
+    release(before)
     digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    was = digest(edges)
+    was = digest(edges) if tasks > 1 else (0,)
     while was[0]:
         before, edges = edges, materialize(star(both(star(both(edges), False)), True))
         now = digest(edges)
@@ -565,11 +644,16 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     made = "doc_id long, n long, h1 long, h2 long, busy int, keys binary, bitmap binary"
     signed = materialize(named.mapInPandas(signatures, made))
     same = ["n", "h1", "h2"]
-    rep = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    copies = materialize(split_join(signed.select("doc_id", *same), rep, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
-    # a set stands for its copies; far fewer texts are copies than are not, so the copies are what is left out
-    rest = materialize(copies.filter("n > 0 and doc_id != rep").select("doc_id", *same).distinct())
-    own = signed.filter("n > 0").join(bounded_broadcast(rest), ["doc_id", *same], "left_anti")
+    # a set stands for its copies; far fewer sets have copies than have none, so those are what is handed out
+    rep = materialize(signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m"))
+    few_reps = fits(rep)
+    with_rep = lambda df: df.join(F.broadcast(rep), same, "left") if few_reps else split_join(df, rep, same, "left")
+    copies = materialize(with_rep(signed.select("doc_id", *same)).select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")))
+    if few_reps:
+        own = with_rep(signed.filter("n > 0")).filter("rep is null or rep = doc_id").drop("rep")
+    else:
+        rest = materialize(copies.filter("n > 0 and doc_id != rep").select("doc_id", *same).distinct())
+        own = signed.filter("n > 0").join(bounded_broadcast(rest), ["doc_id", *same], "left_anti")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, held = [], 0
@@ -605,9 +689,10 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
             order, key = order[several], key[several]
             doc, n, place = doc[order], number[order] >> 32, number[order] & 0xFFFFFFFF
             if len(key):
-                pairs, large = meeting(key, n, doc, place < threshold.prefix(n)[1], None, threshold, few, place)
+                pairs, large = meeting(key, n, doc, place < threshold.prefix(n)[1], None, threshold, few, place, PAIRS_A_SET)
                 yield pd.DataFrame({"key": np.zeros(len(pairs), dtype=np.int64), "a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "pair": True})
-                yield pd.DataFrame({"key": key[large], "a": doc[large], "b": np.zeros(len(large), dtype=np.int64), "n": n[large], "pair": False})
+                groups = members(key[large], doc[large], n[large])
+                yield pd.DataFrame({"key": groups[:, 0], "a": groups[:, 1], "b": np.zeros(len(groups), dtype=np.int64), "n": groups[:, 2], "pair": False})
 
     rows = own.select("doc_id", "n", "busy", "keys").mapInPandas(emit, _PACKED)
     met = materialize(rows.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "key long, a long, b long, n long, pair boolean"))
@@ -619,9 +704,9 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         often = often.select("key", "n", "doc_id", F.floor(F.log(F.col("n")) / float(np.log(threshold.b / threshold.a))).alias("size"))
         firsts = often.groupBy("key", "size").agg(F.min("doc_id").alias("a"))
         star = split_join(often, firsts, ["key", "size"]).filter("a != doc_id").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        # the other groups' keys, of five bytes and a bucket, are never negative
+        # the other groups' keys are never negative
         large, pairs = large.unionByName(often.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "doc_id", "n")), pairs.unionByName(star)
-    bitmaps = own.select("doc_id", "n", "bitmap")
+    bitmaps = signed.filter("n > 0").select("doc_id", "n", "bitmap")
 
     def near(candidates: DataFrame) -> DataFrame:
         """The pairs that bitmaps don't tell apart."""
@@ -632,7 +717,11 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
 
         one = bitmaps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
         two = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("_nb"), F.col("bitmap").alias("y"))
-        both = split_join(candidates, one, ["a"]).join(two, "b")
+        if fits(candidates):
+            firsts = candidates.select("a").distinct()
+            both = two.join(F.broadcast(candidates), "b").join(one.join(F.broadcast(firsts), "a", "left_semi"), "a")
+        else:
+            both = split_join(candidates, one, ["a"]).join(two, "b")
         return materialize(both.filter(~far("x", "y", "na", "_nb")).select("a", "b", "nb").distinct())
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -676,13 +765,14 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
 
     def verified(candidates: DataFrame) -> DataFrame:
         """The linked ones of distinct pairs: each first set is searched in the lists of its partners, chunk by chunk."""
+        candidates, small = gathered(candidates)
         hubs = materialize(candidates.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("nb") / block)).cast("int").alias("chunks")))
         many = hubs.filter("chunks > 1").select("a", F.col("chunks").alias("_k"))
         partners = candidates.join(bounded_broadcast(many), "a", "left")
         chunk = F.pmod(F.xxhash64("b"), F.coalesce("_k", F.lit(1))).cast("int")
         places = partners.select(F.col("b").alias("_node"), F.struct(F.col("a").alias("hub"), chunk.alias("chunk")).alias("at"))
         places = places.unionByName(hubs.select(F.col("a").alias("_node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("a").alias("hub"), c.alias("chunk")))).alias("at")))
-        placed = materialize(places.groupBy("_node").agg(F.collect_list("at").alias("blocks")))
+        placed = materialize((places.coalesce(1) if small else places).groupBy("_node").agg(F.collect_list("at").alias("blocks")))
         texts = named.join(bounded_broadcast(placed), F.col("doc_id") == F.col("_node")).select("doc_id", "blocks", "text")
         sets = texts.mapInPandas(sets_of, "hub long, chunk int, is_hub boolean, doc_id long, shingles binary")
         found = materialize(sets.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.desc("is_hub"), "doc_id").mapInPandas(search, "a long, b long"))
@@ -690,17 +780,18 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         release(placed)
         return found
 
-    alike = near(pairs.distinct())
-    one_each = materialize(alike.groupBy("b").agg(F.min("a").alias("a"), F.first("nb").alias("nb")).select("a", "b", "nb"))
+    alike = near(materialize(pairs.distinct()))
+    one_each = materialize(gathered(alike)[0].groupBy("b").agg(F.min("a").alias("a"), F.first("nb").alias("nb")).select("a", "b", "nb"))
     # rows of one doc_id count as linked, whatever their texts
     by_id = copies.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least != most")
     again = copies.join(by_id, "doc_id").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
     links = materialize(verified(one_each).select("a", "b").unionByName(again))
     found = components(links)
+    few_linked = fits(found)
 
     def with_component(df: DataFrame, node: str, name: str) -> DataFrame:
         side = found.select(F.col("node").alias(node), F.col("component").alias("_c"))
-        return df.join(side, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+        return df.join(F.broadcast(side) if few_linked else side, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
     def widened(which: DataFrame) -> DataFrame:
         """doc_id, n and a long bitmap of some sets, from their texts."""
@@ -713,17 +804,19 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
 
         return named.join(bounded_broadcast(which.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(again, "doc_id long, n long, bitmap binary")
 
-    def in_cells(forest: bool) -> DataFrame | None:
+    def in_cells(large: DataFrame, forest: bool) -> DataFrame | None:
         """Near pairs in large groups: sets outside a group's main component against all of the group, dealt into cells. What no
-        forest has connected is compared by long bitmaps, as the short ones leave too many pairs of such sets to be searched."""
-        placed = materialize(with_component(large, "doc_id", "component"))
+        forest has connected is compared by long bitmaps, as the short ones leave too many pairs of such sets to be searched.
+        Groups of which a forest hides pairs are named in rows of their own, by their key."""
+        placed, small = gathered(materialize(with_component(large, "doc_id", "component")))
         per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         groups = per.groupBy("key").agg(F.sum("m").alias("rows"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         groups = materialize(groups.select("key", "rows", F.col("top.component").alias("main"), (F.col("rows") - F.col("top.m")).alias("open")))
         if groups.isEmpty():
             return None
-        spread = split_join(placed, groups, ["key"])
-        spread = spread.join(bitmaps.select("doc_id", "bitmap", "n") if forest else materialize(widened(spread)).distinct(), ["doc_id", "n"])
+        spread = placed.join(F.broadcast(groups), "key") if small or fits(groups) else split_join(placed, groups, ["key"])
+        bits = bitmaps.select("doc_id", "bitmap", "n") if forest else materialize(widened(spread)).distinct()
+        spread = bits.join(F.broadcast(spread), ["doc_id", "n"]) if small else spread.join(bits, ["doc_id", "n"])
         mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
         spread = spread.withColumn("i", F.ceil(F.col("open") / OPEN_ROWS).cast("int")).withColumn("j", F.ceil(F.col("rows") / ALL_ROWS).cast("int"))
         # the open sets of a group of one cell are in it once, for both sides
@@ -737,22 +830,30 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in _whole_runs(batches, "cell", 1):
                 edge = np.flatnonzero(np.diff(pdf.cell.to_numpy(), prepend=pdf.cell.iloc[0] - 1, append=pdf.cell.iloc[-1] + 1))
-                is_open, alone = pdf.open.to_numpy(), pdf.alone.to_numpy()
+                is_open, alone, key = pdf.open.to_numpy(), pdf.alone.to_numpy(), pdf.key.to_numpy()
                 for at, stop in zip(edge[:-1], edge[1:], strict=True):
                     k = at + int(is_open[at:stop].sum())
                     if at < k < stop:
-                        yield close_pairs(pdf[at:k], pdf[at if alone[at:stop].any() else k : stop], threshold, forest)
+                        found = close_pairs(pdf[at:k], pdf[at if alone[at:stop].any() else k : stop], threshold, forest, PAIRS_A_SET * (stop - at))
+                        yield found.assign(key=pd.Series(pd.NA, index=found.index, dtype="Int64"))
+                        if not found.attrs["all"]:
+                            yield pd.DataFrame({"a": [-1], "b": [-1], "nb": [-1], "key": pd.array([key[at]], dtype="Int64")})
 
-        return rows.select(cell, *columns[3:], "open").repartition("cell").sortWithinPartitions("cell", F.desc("open"), "doc_id").mapInPandas(compare, "a long, b long, nb long")
+        return materialize(rows.select(cell, "key", *columns[3:], "open").repartition("cell").sortWithinPartitions("cell", F.desc("open"), "doc_id").mapInPandas(compare, "a long, b long, nb long, key long"))
 
     # what is still open: other pairs of different components, and in large groups first what would connect them, as nearly all of
-    # it will; then whatever is still apart
+    # it will; then whatever is still apart in those of which the first did not give all pairs
     large = materialize(large.distinct())
     known = one_each
     for forest in (True, False):
-        cells = in_cells(forest)
-        pairs = alike if cells is None else alike.unionByName(cells).distinct()
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        cells = None if large is None else in_cells(large, forest)
+        pairs = alike if cells is None else alike.unionByName(cells.filter("key is null").drop("key"))
+        pairs = gathered(pairs)[0]
+        if forest and cells is not None:
+            large = large.join(bounded_broadcast(cells.filter("key is not null").select("key").distinct()), "key", "left_semi")
+        elif forest:
+            large = None
+        pairs = (pairs if cells is None else pairs.distinct()).join(bounded_broadcast(known.select("a", "b")), ["a", "b"], "left_anti")
         pairs = materialize(with_component(with_component(pairs, "a", "_ca"), "b", "_cb").filter("_ca != _cb").select("a", "b", "nb"))
         if pairs.isEmpty():  # a pair refuted before may be all that would connect a group: then the next round looks at every pair
             release(pairs)
@@ -762,8 +863,9 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
         if not late.isEmpty():
             links = links.unionByName(late)
             found = components(links)
+            few_linked = fits(found)
     sides = found.select(F.col("node").alias("rep"), "component")
-    joined = split_join(copies, sides, ["rep"], "left")
+    joined = copies.join(F.broadcast(sides), "rep", "left") if few_linked else split_join(copies, sides, ["rep"], "left")
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     nameless = lean.filter(F.col("doc_id").isNull()).mapInPandas(signatures, made)
     return out.unionByName(nameless.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
