@@ -293,3 +293,14 @@ def test_few_pairs_of_a_cell_come_all():
     every, some = close_pairs(frame, frame, t, False), close_pairs(frame, frame, t, True, 1)
     assert close_pairs(frame, frame, t, True, 2 * len(every)).equals(every) and close_pairs(frame, frame, t, True, 2 * len(every)).attrs["all"]
     assert not some.attrs["all"] and len(some) <= len(every) and set(map(tuple, some.to_numpy())) <= set(map(tuple, every.to_numpy()))
+
+
+def test_texts_are_handed_out_in_small_batches(spark, monkeypatch):
+    from tidewater.llm import similarity
+
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", set(), similarity.materialize
+    was = spark.conf.get(name)
+    monkeypatch.setattr(similarity, "materialize", lambda df, *by: seen.add(int(spark.conf.get(name))) or written(df, *by))
+    data = [(1, "a b c d"), (2, "a b c d"), (3, "e f g h")]
+    assert sorted(map(tuple, similarity_join(spark.createDataFrame(data, "doc_id long, text string")).collect())) == brute(data, 3, 9, 10)
+    assert max(seen) <= 1000 and spark.conf.get(name) == was

@@ -49,7 +49,9 @@ FREQUENT, MOST_FREQUENT, BUSY = 32, 200_000, 4096
 #: Weight of the probes in DivideSkip's choice of how many lists are long.
 MU = 0.02
 #: Prefix shingles that a task packs at once.
-PACKED = 1_000_000
+PACKED = 250_000
+#: Texts that a Python worker is handed at once: whole texts in Arrow batches are what a task needs memory for, on both sides.
+TEXTS = 1000
 #: Links of which a task makes a forest at once.
 FOREST = 200_000
 
@@ -618,6 +620,16 @@ def similarity_join(docs: DataFrame, words: int = 3, threshold: Threshold = Thre
     with a null doc_id take no part and get a null component. Very long texts are read whole. Other columns are ignored.
     Sets are held as 64-bit hashes: two texts could only be linked wrongly by a collision within that pair.
     """
+    spark, batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(TEXTS, int(was)) if int(was) > 0 else TEXTS))
+    try:
+        return _joined(docs, words, threshold, block, few, frequent, busy)
+    finally:
+        spark.conf.set(batch, was)
+
+
+def _joined(docs: DataFrame, words: int, threshold: Threshold, block: int, few: int, frequent: int, busy: int) -> DataFrame:
     ship(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     named = lean.filter(F.col("doc_id").isNotNull())
