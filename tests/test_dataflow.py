@@ -56,6 +56,33 @@ def test_reaching_stores(loop):
     assert got == {"head": every, "body": every, "done": every}
 
 
+def test_short_functions_are_solved_as_long_ones(spark):
+    """Functions as one row give what bitsets in rounds give, also where some are long and others short, on random flow."""
+    rng = random.Random(5)
+    text = []
+    for m in range(5):
+        n = 2 + m
+        body = "".join(f"b{i}:\n" + "".join(rng.choice([f"store ptr %v{rng.randrange(4)}, ptr @g{rng.randrange(3)}\n", f"%v{rng.randrange(4)} = load ptr, ptr %v{rng.randrange(4)}\n"]) for _ in range(1 + rng.randrange(5))) + f"br i1 %c, label %b{rng.randrange(n + 1)}, label %b{rng.randrange(n)}\n" for i in range(n))
+        text.append((f"m{m}", f"define void @f(ptr %p) {{\n{body}}}\n"))
+    found = ir.parse(ir.from_text(spark.createDataFrame(text, "module_id string, value string")))
+    rows, edges = found["instructions"].cache(), found["cfg_edges"].cache()
+    inside = rows.withColumn("successors", ir.successors(F.col("opcode"), F.col("raw_text")))
+    for solve in (dataflow.live_registers, dataflow.reaching_definitions, dataflow.assigned_slots):
+        want = sorted(map(tuple, solve(rows, edges, most=0).collect()))
+        assert len(want) > 20
+        for got in (solve(rows, edges), solve(inside, None, True), solve(inside, None, most=18)):
+            assert sorted(map(tuple, got.collect())) == want
+
+
+def test_short_modules_are_not_shuffled_twice(spark):
+    """Where every module is short, its text stays where its lines were numbered: one exchange, and no join with other stretches."""
+    from tidewater.plans import behaviour
+
+    df = behaviour.instructions(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_own_lattice(spark):
     """Longest distance from the beginning, capped at 9 as the greatest element: a join of maxima with a transfer of the user's."""
     nodes = spark.createDataFrame([("f", n, n == "a", w) for n, w in (("a", 1), ("b", 2), ("c", 3), ("d", 1))], "func string, node string, begins boolean, weight long")
