@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 
+from tidewater.operators import graph
 from tidewater.plans.catalogue import QUERIES
 
 
@@ -44,3 +47,31 @@ def test_whole_queries_equal_brute_force(spark, tmp_path):
     known = {i for i, v in money.items() if v > 0}
     both = {(x, y) for a, b in edges for x, y in ((a, b), (b, a)) if {x, y} <= known} | {(x, x) for x in known}
     assert set(rows("g12_one_step")) == {(x, f"S{y % 7}") for x, y in both}
+
+
+def test_sites_near_a_landmark_do_not_travel(spark, monkeypatch):
+    """Sites that every node before the landmark surely reaches are counted without bits; what lies apart, too far or never comes to the
+    landmark is followed, with the counts of a search from every node."""
+    rng = random.Random(3)
+    dense = {(a, rng.randrange(40)) for a in range(40) for _ in range(4)}
+    apart = {(50, 51), (51, 3), (3, 60), (60, 61), (61, 60), (70, 71)}
+    chain = {(39, 100), *((100 + i, 101 + i) for i in range(3))}
+    sites = [(n % 3, n) for n in [*range(0, 40, 2), 51, 61, 71, 80, 102, 103]]
+    followed = []
+    travel = graph._travelled
+    monkeypatch.setattr(graph, "_travelled", lambda e, s, d: followed.append(s.count()) or travel(e, s, d))
+    for pairs, depth, all_followed in ((dense | apart | chain, 8, False), (dense | apart | chain, 6, True)):
+        e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+        followed.clear()
+        got = {(r["node"], r["family"]): r["n_sites"] for r in graph.reachable_sites(e, spark.createDataFrame(sites, "family long, node long"), depth).collect()}
+        want: dict = {}
+        for start in {x for p in pairs for x in p} | {n for _, n in sites}:
+            seen = fresh = {start}
+            for _ in range(depth):
+                fresh = {b for a, b in pairs if a in fresh} - seen
+                seen = seen | fresh
+            for family, n in sites:
+                if n in seen:
+                    want[start, family] = want.get((start, family), 0) + 1
+        assert got == want
+        assert (sum(followed) == len(sites)) == all_followed
