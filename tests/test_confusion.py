@@ -27,3 +27,12 @@ def test_long_function_equals_a_scan(spark):
     got = {r["inst_idx"] - 2: r["confidence"] for r in confusion.confusions(ir.parse(ir.from_text(rows))["instructions"], F.col("callee") == "free").collect()}
     want = {i: "High" if any("free" in t for t in body[max(0, i - 5) : i + 6]) else "Medium" for i, t in enumerate(body) if "sitofp" in t}
     assert got == want
+
+
+def test_short_modules_are_dealt_once(spark):
+    """d4_confusions and j18_last_stores deal order lines once; the text made from them is neither shuffled again nor joined."""
+    from tidewater.plans.catalogue import QUERIES
+
+    for name in ("d4_confusions", "j18_last_stores"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.spark import carried
 
@@ -39,7 +40,16 @@ def conversions(instructions: DataFrame, *more: str) -> DataFrame:
     return found.filter("source_type is not null and target_type is not null and target_type != ''")
 
 
-def confusions(instructions: DataFrame, is_boundary: Column, near: int = NEAR) -> DataFrame:
+def _near(numbered: DataFrame, is_boundary: Column, near: int) -> DataFrame:
+    """Conversions with the first boundary call near them, and whether their function has any."""
+    calls = numbered.filter(F.col("kind").isin("Call", "IndirectCall") & F.coalesce(is_boundary, F.lit(False))).select(*FUNC, "callee", "_at")
+    around = calls.select(*FUNC, F.struct("_at", "callee").alias("_call"), F.explode(F.sequence(F.col("_at") - near, F.col("_at") + near)).alias("_at"))
+    first = around.groupBy(*FUNC, "_at").agg(F.min("_call").alias("_call"))
+    some = calls.select(*FUNC, F.lit(True).alias("_some")).distinct()
+    return conversions(numbered, "_at").join(first, [*FUNC, "_at"], "left").join(some, FUNC, "left").withColumn("_some", F.coalesce("_some", F.lit(False)))
+
+
+def confusions(instructions: DataFrame, is_boundary: Column, near: int = NEAR, short: bool = False) -> DataFrame:
     """(module_id, func, inst_idx, kind, source_type, target_type, boundary_function, confidence); ``is_boundary`` tells of a call's ``callee``
     whether it crosses a boundary.
 
@@ -47,13 +57,13 @@ def confusions(instructions: DataFrame, is_boundary: Column, near: int = NEAR) -
     TypeWidth for truncations of 16 bits or more, UnsafeBitcast between a pointer and another type. Signs and widths count only in
     functions with a boundary call. Confidence is High with such a call within ``near`` instructions, of several the first is named;
     Medium with one anywhere in the function; else Low. Instructions are numbered over stretches of each function and calls meet
-    conversions by number, so a long function is no one task and no pairs of calls and conversions arise beyond ``near``.
+    conversions by number, so a long function is no one task and no pairs of calls and conversions arise beyond ``near``. Where the
+    caller knows all functions to be ``short``, each is one window and nothing is joined.
     """
-    numbered = carried(instructions.filter("func is not null").select(*FUNC, "inst_idx", "kind", "opcode", "callee", "raw_text"), FUNC, "inst_idx", {}, "_at")
-    calls = numbered.filter(F.col("kind").isin("Call", "IndirectCall") & F.coalesce(is_boundary, F.lit(False))).select(*FUNC, "callee", "_at")
-    around = calls.select(*FUNC, F.struct("_at", "callee").alias("_call"), F.explode(F.sequence(F.col("_at") - near, F.col("_at") + near)).alias("_at"))
-    first = around.groupBy(*FUNC, "_at").agg(F.min("_call").alias("_call"))
-    some = calls.select(*FUNC, F.lit(True).alias("_some")).distinct()
+    numbered = carried(instructions.filter("func is not null").select(*FUNC, "inst_idx", "kind", "opcode", "callee", "raw_text"), FUNC, "inst_idx", {}, "_at", short=short)
+    boundary = F.when(F.col("kind").isin("Call", "IndirectCall") & F.coalesce(is_boundary, F.lit(False)), F.struct("_at", "callee"))
+    whole = Window.partitionBy(*FUNC)
+    met = conversions(numbered.withColumns({"_call": F.min(boundary).over(whole.orderBy("_at").rangeBetween(-near, near)), "_some": F.count(boundary).over(whole) > 0}), "_at", "_call", "_some") if short else _near(numbered, is_boundary, near)
     s, t, op = F.col("source_type"), F.col("target_type"), F.col("opcode")
     extends, floats = op.isin("sext", "zext"), op.isin("sitofp", "uitofp", "fptosi", "fptoui")
     kind = (
@@ -63,6 +73,5 @@ def confusions(instructions: DataFrame, is_boundary: Column, near: int = NEAR) -
         .when((op == "trunc") & F.col("_some") & (F.abs(width(s) - width(t)) >= LEAST_WIDTHS), "TypeWidth")
         .when((op == "bitcast") & ((is_pointer(s) != is_pointer(t)) | (is_pointer(s) & is_pointer(t) & (s != t))), "UnsafeBitcast")
     )
-    met = conversions(numbered, "_at").join(first, [*FUNC, "_at"], "left").join(some, FUNC, "left").withColumn("_some", F.coalesce("_some", F.lit(False)))
     sure = F.when(F.col("_call").isNotNull(), "High").when(F.col("_some"), "Medium").otherwise("Low")
     return met.select(*FUNC, "inst_idx", kind.alias("kind"), "source_type", "target_type", F.col("_call.callee").alias("boundary_function"), sure.alias("confidence")).filter("kind is not null")

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewater.operators import confusion
-from tidewater.plans.tables import read
+from tidewater.plans import behaviour
 from tidewater.sources import ir
+from tidewater.spark import CHUNK
 
 QUERIES, ORACLE = {}, {}
 #: Text, the kind it may have, source and target type, whether it needs a boundary call in the function.
@@ -25,14 +25,15 @@ CALLS = {i: name for i, (text, *_) in enumerate(FORMS) for name in ("malloc", "f
 
 def d4_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusing conversions with their nearness to calls of the C library (D-4, F-31)."""
-    a, b, r, k = F.col("l_partkey"), F.col("l_suppkey"), F.col("r"), len(FORMS)
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    three = F.array(*[F.struct((3 * r - 2 + i).cast("int").alias("line_no"), (at % k).alias("k")) for i, at in enumerate((a, F.floor(a / k) + b, a + 7 * b))])
-    made = read(spark, sf_dir, "lineitem").withColumn("r", number).select(F.concat(F.lit("m"), "l_orderkey").alias("module_id"), F.explode(three).alias("i")).select("module_id", "i.*")
-    body = made.select("module_id", "line_no", F.element_at(F.array(*[F.lit(t) for t, *_ in FORMS]), (F.col("k") + 1).cast("int")).alias("raw"))
-    frame = made.select("module_id").distinct().select("module_id", F.explode(F.array(*[F.struct(F.lit(n).alias("line_no"), F.lit(t).alias("raw")) for n, t in ((0, "define void @f(ptr %p, i32 %x) {"), (1_000_000, "}"))])).alias("i")).select("module_id", "i.*")
-    lines = frame.unionByName(body).select("module_id", "line_no", ir.without_comment("raw").alias("line"), "raw")
-    found = confusion.confusions(ir.parse(lines)["instructions"], F.col("callee").isin(*CALLS.values()))
+    a, b, r, k = F.col("a"), F.col("b"), F.col("r"), len(FORMS)
+    short = 3 * behaviour.longest(spark, sf_dir) + 2 <= CHUNK
+    line = lambda at, form, raw=None: F.struct(at.cast("int").alias("line_no"), form.cast("int").alias("k"), F.lit(raw).cast("string").alias("raw"))
+    three = [line(3 * r - 2 + i, at % k) for i, at in enumerate((a, F.floor(a / k) + b, a + 7 * b))]
+    head, foot = F.when(r == 1, line(F.lit(0), F.lit(None), "define void @f(ptr %p, i32 %x) {")), F.when(r == F.col("c"), line(3 * r + 1, F.lit(None), "}"))
+    made = behaviour.owned(spark, sf_dir).select("module_id", F.explode(F.array(head, *three, foot)).alias("i")).filter("i is not null").select("module_id", "i.*")
+    body = made.select("module_id", "line_no", F.coalesce("raw", F.element_at(F.array(*[F.lit(t) for t, *_ in FORMS]), F.col("k") + 1)).alias("raw"))
+    lines = body.select("module_id", "line_no", ir.without_comment("raw").alias("line"), "raw")
+    found = confusion.confusions(ir.parse(lines, short)["instructions"], F.col("callee").isin(*CALLS.values()), short=short)
     return found.select("module_id", (F.col("inst_idx") - 1).cast("long").alias("place"), "kind", "source_type", "target_type", "boundary_function", "confidence")
 
 
